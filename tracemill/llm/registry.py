@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, exact, lines, urls
+from . import chat, exact, lines, quality, urls, warc
 
 QUERIES = {
+    "op2_quality_rules": quality.query,
     "op3_exact_dedup": exact.query,
+    "op4_warc_bundles": warc.query,
     "op5_chat_format": chat.query,
     "op7_line_dedup": lines.query,
     "op9_url_filter": urls.query,
 }
 ORACLES = {
+    "op2_quality_rules": quality.SQL,
     "op3_exact_dedup": exact.SQL,
     "op5_chat_format": chat.SQL,
     "op7_line_dedup": lines.SQL,
