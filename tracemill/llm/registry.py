@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, exact, lines, quality, urls, warc
+from . import chat, exact, html, lines, quality, urls, warc
 
 QUERIES = {
+    "op1_html_extract": html.query,
     "op2_quality_rules": quality.query,
     "op3_exact_dedup": exact.query,
     "op4_warc_bundles": warc.query,

@@ -111,7 +111,7 @@ class BundleWriter:
     def add(self, page_id: int | None, data: bytes) -> Iterator[tuple]:
         if self.out is None:
             self.name = f"{uuid.uuid4().hex}.warc.zst"
-            self.out, self.frames, self.at, self.rows = self.store.open_output_stream(f"{self.root}/{self.name}"), [], 0, []
+            self.out, self.frames, self.at, self.rows = self.store.open_output_stream(f"{self.root}/{self.name}", compression=None), [], 0, []
             self.open, self.size = [], 0
         self.open.append((page_id, data))
         self.size += len(data)
