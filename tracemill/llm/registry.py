@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, html, lines, quality, urls, warc
+from . import chat, exact, html, lines, near, quality, urls, warc
 
 QUERIES = {
     "op1_html_extract": html.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc_bundles": warc.query,
     "op5_chat_format": chat.query,
     "op7_line_dedup": lines.query,
+    "op8_jaccard_join": near.query,
     "op9_url_filter": urls.query,
 }
 ORACLES = {
