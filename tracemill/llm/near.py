@@ -5,17 +5,18 @@
    k + 1 + c parts by hash, where k bounds the symmetric difference of two sets that link; at most k
    parts differ, so some part of two linked sets is equal. A signature is the hash of a part. (A set with
    so many empty parts that only empty ones might agree also gives those.)
-3. Similar documents are partitioned into groups: per signature the smallest node leads, each node is
-   verified against its smallest leader, and what links is a group. Signatures are combined within each
-   batch before the shuffle, so a signature of a third of all rows arrives once per batch; a group of
-   copies costs one comparison per member and never its pairs.
-4. Where a signature still spans two groups, the matrix decides: the union of each asked group's tokens
-   is stored, the overlap of the query with it bounds the overlap with every member, and only groups
-   with enough overlap are opened, at the members that share a signature with the query.
+3. Nodes that share signatures, directly or through others, are a cluster; signatures are combined within
+   each batch before the shuffle, so a signature of a third of all rows arrives once per batch. The node
+   whose signatures are shared most is the cluster's pivot, and every set is kept as its difference from
+   the pivot's. What links with the pivot is connected at once.
+4. The rest are queries. Clusters are dealt in blocks, and blocks in groups of similar members. A group
+   stores its members' token union as a matrix of tokens and members; the overlap of a query with the
+   union bounds its overlap with every member, only groups where a link stays possible are opened, and
+   of the links found only those that connect something leave the task.
 5. Links are contracted to components by alternating stars.
 
-Sets are never sent through a shuffle whole except as the texts of candidates. Nothing is sampled or
-capped, and no pair that can link is skipped unless both are in one group already.
+Nothing is sampled or capped, and no pair that can link is skipped unless both are connected already. A
+task holds two blocks at most, whatever the size of a cluster.
 
 Defined results: null text and text without words has an empty set, 0 shingles and links with nothing;
 fewer words than a shingle form one; repeated rows are in one component; null doc_ids take part but
@@ -38,6 +39,8 @@ from .common import save, table
 
 #: Production parameters; WORDS and PERCENT hold unless a caller asks for others.
 WORDS, PERCENT, BROADCAST_BYTES = 5, 80, 32 << 20
+#: Members of a cluster that one task compares with as many others, and of a group of the matrix.
+BLOCK, GROUP = 4096, 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -117,13 +120,6 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if not len(a) or not len(b) or min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def _nodes(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, node, size."""
 
@@ -187,27 +183,110 @@ def _postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.repartition("by").sortWithinPartitions("sig", "node").mapInArrow(lead, "sig bigint, node bigint, lead bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link."""
+MEMBER = "cluster bigint, node bigint, size bigint, near boolean, delta binary"
+
+
+def _members(clusters: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """For each node its set as difference (sorted tokens in one of the two sets) from its cluster's pivot, and whether it links with the pivot."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cluster, node, pivot, text, other = (c.to_pylist() for c in batch.columns)
+            size, near, delta = [], [], []
+            for y, v, w in zip(pivot, text, other):
+                if y not in known:
+                    if len(known) > 200:
+                        known.clear()
+                    known[y] = shingles(w, n)
+                own = shingles(v, n)
+                d = np.setxor1d(own, known[y], assume_unique=True)
+                size.append(len(own))
+                near.append(len(d) * (100 + percent) <= (100 - percent) * (len(own) + len(known[y])))
+                delta.append(d.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(near, pa.bool_()), pa.array(delta, pa.binary())], names=["cluster", "node", "size", "near", "delta"])
+
+    other = texts.select(F.col("node").alias("pivot"), F.col("text").alias("other"))
+    return clusters.join(texts, "node").join(other, "pivot").select("cluster", "node", "pivot", "text", "other").mapInArrow(work, MEMBER)
+
+
+def _block_links(rows: list[tuple], percent: int, blocks: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links (node, node) that join what is apart, between queries that do not link with the pivot and all members of the two blocks.
+
+    rows: (node, size, near, delta, block). Members are sorted into groups; a group is opened for a query only if the
+    overlap of the query with the group's token union leaves a link possible."""
+    rows.sort(key=lambda r: (len(r[3]), r[3][:8]))  # like sizes and like smallest tokens lie together
+    node, block = [r[0] for r in rows], np.array([r[4] for r in rows])
+    size = np.array([r[1] for r in rows], np.int64)
+    near = np.array([r[2] for r in rows])
+    deltas = [np.frombuffer(r[3], np.uint64) for r in rows]
+    d = np.array([len(x) for x in deltas], np.int64)
+    token, of = np.unique(np.concatenate(deltas), return_inverse=True)
+    ids = np.split(of, np.cumsum(d)[:-1])
+    groups = []
+    for at in range(0, len(rows), GROUP):
+        own = slice(at, min(at + GROUP, len(rows)))
+        # The matrix: a row per token of the group's union, with the members that have it.
+        flat = np.concatenate(ids[own])
+        who = np.repeat(np.arange(own.stop - own.start), d[own])
+        order = np.argsort(flat, kind="stable")
+        union, starts = np.unique(flat[order], return_index=True)
+        groups.append((own, union, np.append(starts, len(flat)), who[order]))
+    parent = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    first_near = next((k for k in range(len(rows)) if near[k]), None)
+    for k in np.flatnonzero(near).tolist():
+        parent[k] = first_near
+    out = []
+    for x in np.flatnonzero(~near).tolist():
+        for own, union, starts, who in groups:
+            limit = (100 - percent) * (size[x] + size[own]) // (100 + percent)
+            at = np.searchsorted(union, ids[x])
+            hit = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == ids[x])] if len(union) else at[:0]
+            if ((d[x] + d[own] - 2 * np.minimum(len(hit), d[own])) > limit).all():
+                continue
+            found = np.concatenate([who[starts[t] : starts[t + 1]] for t in hit.tolist()]) if len(hit) else who[:0]
+            apart = d[x] + d[own] - 2 * np.bincount(found, minlength=own.stop - own.start)
+            good = apart <= limit
+            if blocks[0] != blocks[1]:
+                good &= block[own] != block[x]
+            for y in (np.flatnonzero(good) + own.start).tolist():
+                if (a := find(x)) != (b := find(y)):
+                    parent[a] = b
+                    out.append((node[x], node[y]))
+    return out
+
+
+def _links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within clusters beside those with the pivot."""
+    count = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum((~F.col("near")).cast("int")).alias("out")).where("out > 0 and m > 1")
+    blocks = count.select("cluster", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "size", "near", "delta", "block")
 
-        def tokens(node: int, text: str) -> np.ndarray:
-            if node not in known:
-                if len(known) > 500:
-                    known.clear()
-                known[node] = shingles(text, n)
-            return known[node]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held and (got := _block_links(held, percent, key[1:])):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got)], names=["a", "b"])
 
         for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            ok = [linked(shingles(v, n), tokens(y, w), percent) for y, v, w in zip(b, ta, tb)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for c, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (c, i, j) != key:
+                    yield from done()
+                    key, held = (c, i, j), []
+                held.append(tuple(row))
+        yield from done()
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a bigint, b bigint")
+    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(work, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,36 +307,6 @@ def components(edges: DataFrame) -> DataFrame:
         e = save(small.distinct(), "near-star")
 
 
-def _asked(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    """sig, q, qg, y, yg: nodes of one signature in different groups, the query's group being the larger."""
-    members = postings.select("sig", "node").union(postings.select("sig", "lead")).distinct()
-    members = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("g"))
-    spans = members.groupBy("sig").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("sig")
-    members = save(members.join(spans, "sig"), "near-members")
-    other = members.select("sig", F.col("node").alias("y"), F.col("g").alias("yg"))
-    return members.join(other, "sig").where("g > yg").select("sig", F.col("node").alias("q"), F.col("g").alias("qg"), "y", "yg")
-
-
-def _opened(asked: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of queries and members of groups whose token union lets them link."""
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = shingles(text, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key, np.int64)), pa.array(own.view(np.int64))], names=["key", "token"])
-
-    grouped = texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("g"), "text")
-    pairs = asked.select("q", "yg").distinct()
-    union = grouped.join(pairs.select(F.col("yg").alias("g")).distinct(), "g", "left_semi").select("g", "text").mapInArrow(tokens, "key bigint, token bigint").distinct()
-    query = texts.join(pairs.select(F.col("q").alias("node")).distinct(), "node", "left_semi").select("node", "text").mapInArrow(tokens, "key bigint, token bigint")
-    sizes = nodes.select(F.col("node").alias("q"), "size").distinct()
-    overlap = pairs.join(query.withColumnRenamed("key", "q"), "q").join(union.withColumnRenamed("key", "yg"), ["yg", "token"]).groupBy("q", "yg").agg(F.count("*").alias("overlap"))
-    # 100 * both >= percent * union of two sets, and their union is at least the query.
-    good = overlap.join(sizes, "q").where(100 * F.col("overlap") >= percent * F.col("size")).select("q", "yg")
-    return asked.join(good, ["q", "yg"]).select(F.col("q").alias("a"), F.col("y").alias("b")).distinct()
-
-
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for each row of docs (doc_id, text)."""
     nodes = save(_nodes(docs, words), "near-nodes")
@@ -273,12 +322,17 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             yield batch.filter(pa.array([node_of(shingles(t, words)) == x for x, t in zip(*(c.to_pylist() for c in batch.columns))], pa.bool_()))
 
     texts = save(found.mapInArrow(own, "node bigint, text string").dropDuplicates(["node"]), "near-texts")
-    pairs = postings.groupBy("node").agg(F.min("lead").alias("b")).select(F.col("node").alias("a"), "b")
-    roots = components(save(_verified(pairs, texts, words, percent), "near-links"))
-    asked = save(_asked(postings, roots), "near-asked")
-    if not asked.isEmpty():
-        more = save(_verified(_opened(asked, roots, nodes, texts, words, percent), texts, words, percent), "near-more")
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    clusters = components(postings.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+    every = clusters.union(clusters.select("root", "root").distinct())
+    # The pivot: the node whose signatures are shared most widely.
+    shared = postings.groupBy("sig").agg(F.count("*").alias("w"))
+    weight = postings.join(shared, "sig")
+    weight = weight.select("node", "w").union(weight.select("lead", "w")).groupBy("node").agg(F.sum("w").alias("w"))
+    pivots = every.join(weight, "node").groupBy("root").agg(F.max(F.struct("w", "node"))["node"].alias("pivot"))
+    every = save(every.join(pivots, "root").select(F.col("root").alias("cluster"), "node", "pivot"), "near-clusters")
+    members = save(_members(every, texts, words, percent), "near-members")
+    direct = members.where("near").join(every, ["cluster", "node"]).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    roots = components(save(direct.union(_links(members, percent)), "near-links"))
     rows = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rows.where("node != 0").groupBy("root").agg(F.min("doc_id").alias("lowest"))
     return rows.join(lowest, "root", "left").select(
