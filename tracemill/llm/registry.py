@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, html, lines, near, quality, urls, warc
+from . import bpe, chat, exact, html, lines, near, packing, quality, urls, warc
 
 QUERIES = {
     "op1_html_extract": html.query,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_exact_dedup": exact.query,
     "op4_warc_bundles": warc.query,
     "op5_chat_format": chat.query,
+    "op6_best_fit_packing": packing.query,
     "op7_line_dedup": lines.query,
     "op8_jaccard_join": near.query,
     "op9_url_filter": urls.query,
+    "op10_bpe": bpe.query,
 }
 ORACLES = {
     "op2_quality_rules": quality.SQL,
