@@ -2,8 +2,9 @@
 
 Documents are split into words at boundaries that the tokenizer's own splitting never crosses (from a
 character to the white space after it). A block of documents keeps the list of its distinct words, and
-each document the positions of its words in that list. The distinct words of all blocks form a table;
-each is encoded once, and the ids are joined back to the blocks' lists and from there to the positions.
+each document the positions of its words in that list. The words of all blocks meet in a table that is
+partitioned and sorted by word: each distinct word is encoded once, and its ids go back to its places in
+the blocks' lists and from there, joined by block, to the positions in the documents.
 Decoding maps each id to its piece through the id-to-piece table, which the vocabulary file bounds.
 
 A block is named by a digest of its list, so that lists and positions, which are computed apart, can only
@@ -30,11 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import table
 from .packing import vocabulary_path
 
 #: Production parameters.
-VOCABULARY, BLOCK_WORDS = "byte_bpe_50k.json", 2_000_000
+VOCABULARY, BLOCK_WORDS = "byte_bpe_50k.json", 4_000_000
 _UNSAFE = re.compile(r"\s[ \n]|\x00")
 _SLOW = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 
@@ -130,12 +131,20 @@ def encode(docs: DataFrame, path: str | None = None, block_words: int = BLOCK_WO
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name, np.int64)), pa.array([-1] * len(part), pa.int32()), pa.array([d for d, _ in part], pa.int64()), pa.array(packed, pa.binary())], names=["block", "at", "doc_id", "data"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        """Rows come sorted by word: each distinct word is encoded once and its ids go to all its places."""
+        tokenizer, last, ids = _tokenizer(path), None, b""
         for whole in batches:
-            for at in range(0, whole.num_rows, 2_000):
-                batch = whole.slice(at, 2_000)
-                got = tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x.ids, "<u4").tobytes() for x in got], pa.binary())], names=["word", "data"])
+            for start in range(0, whole.num_rows, 5_000):
+                batch = whole.slice(start, 5_000)
+                words = batch.column(2).to_pylist()
+                new = [w for w, v in zip(words, [last, *words]) if w != v]
+                got = iter(tokenizer.encode_batch_fast(new, add_special_tokens=False))
+                data = []
+                for w in words:
+                    if w != last:
+                        last, ids = w, np.array(next(got).ids, "<u4").tobytes()
+                    data.append(ids)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(len(data), pa.int64()), pa.array(data, pa.binary())], names=["block", "at", "doc_id", "data"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by block: first its list, then its documents."""
@@ -162,9 +171,8 @@ def encode(docs: DataFrame, path: str | None = None, block_words: int = BLOCK_WO
                     else:
                         yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.int64()), pa.array([x.astype(np.int32) for x in out_i], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    listed = save(docs.mapInArrow(lists, "block bigint, at int, word string"), "bpe-lists")
-    words = save(listed.select("word").distinct().mapInArrow(encoded, "word string, data binary"), "bpe-words")
-    back = listed.join(words, "word").select("block", "at", F.lit(None).cast("bigint").alias("doc_id"), "data")
+    listed = docs.mapInArrow(lists, "block bigint, at int, word string").repartition("word").sortWithinPartitions("word")
+    back = listed.mapInArrow(encoded, "block bigint, at int, doc_id bigint, data binary")
     rows = back.union(docs.mapInArrow(positions, "block bigint, at int, doc_id bigint, data binary"))
     # A block's documents have at = -1 and sort after its list by the flag.
     return rows.repartition("block").sortWithinPartitions("block", F.col("at") < 0).mapInArrow(joined, schema)
