@@ -1,0 +1,8 @@
+"""Operators on sets of reads. Each takes and returns DataFrames or ReadSets and runs no job unless it must refuse."""
+
+from .demux import demux
+from .flatten import flatten, unflatten
+from .reads import degrade, get, index, missing, quickcheck, skim, stats, view
+from .sets import cat, merge, split_files, split_groups, split_reads
+
+__all__ = ["cat", "degrade", "demux", "flatten", "get", "index", "merge", "missing", "quickcheck", "skim", "split_files", "split_groups", "split_reads", "stats", "unflatten", "view"]

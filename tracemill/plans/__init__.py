@@ -1,0 +1,34 @@
+"""Plans that need more than one pass."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def positions(df: DataFrame, *order: str, name: str = "pos", buckets: int | None = None) -> DataFrame:
+    """df with dense positions from 0 along order, without a window over all rows in one task.
+
+    Rows are dealt to ranges of the order; counts per range are summed to offsets (one row per range), and
+    rows are numbered within their range."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    keys = F.struct(*order)
+    bounds = ranged.groupBy("_range").agg(F.min(keys).alias("_low"), F.count("*").alias("_n"))
+    # One row per range.
+    bounds = bounds.selectExpr("_range", "coalesce(sum(_n) OVER (ORDER BY _low ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before")
+    by = ", ".join(order)
+    numbered = ranged.selectExpr("*", f"row_number() OVER (PARTITION BY _range ORDER BY {by}) - 1 AS _in")
+    return numbered.join(F.broadcast(bounds), "_range").withColumn(name, F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
+
+
+def chunk(pos: Column, size: int) -> Column:
+    return F.floor(pos / size).cast("long")
+
+
+def bucket(pos: Column, total: int, n: int) -> Column:
+    """The bucket of n whose first total % n hold one more, as ntile has it."""
+    q, r = divmod(total, n)
+    if q == 0:
+        return pos
+    return F.when(pos < r * (q + 1), F.floor(pos / (q + 1))).otherwise(r + F.floor((pos - r * (q + 1)) / q)).cast("long")

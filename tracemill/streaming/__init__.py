@@ -1,0 +1,45 @@
+"""Continuous conversion: files that arrive in a folder are converted once each, those that fail are set aside."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+
+def watch(spark: SparkSession, folder: str, out: str, failed: str, checkpoint: str, convert: Callable[[SparkSession, str], DataFrame], pattern: str = "*", realtime: bool = False, interval: str = "10 seconds") -> StreamingQuery:
+    """Start a stream over files of folder (recursively). The checkpoint makes a restart go on where it stopped.
+
+    Not realtime: takes what is there, then ends. Files are converted one by one; a failure is recorded in failed."""
+    names = (
+        spark.readStream.schema("value string").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(folder)
+        .select(F.col("_metadata.file_path").alias("path"))
+    )
+
+    def put(batch: DataFrame, k: int) -> None:
+        bad = []
+        for i, row in enumerate(batch.distinct().orderBy("path").toLocalIterator()):
+            try:
+                convert(spark, row.path).write.mode("overwrite").parquet(f"{out}/batch={k}/file={i}")
+            except Exception as e:  # the file is set aside, the stream goes on
+                bad.append((row.path, str(e)[:500]))
+        if bad:
+            spark.createDataFrame(bad, "path string, reason string").write.mode("overwrite").parquet(f"{failed}/batch={k}")
+
+    writer = names.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if realtime else writer.trigger(availableNow=True)).start()
+
+
+def counted(spark: SparkSession, path: str, schema, key: str, checkpoint: str, out: str) -> DataFrame:
+    """Counts per key of a folder or file of Parquet, by a stream that takes what is there."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
+    counts = stream.groupBy(key).agg(F.count("*").alias("n"))
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{out}/{k}")
+
+    counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(out)
+    return rows.groupBy(key).agg(F.max_by("n", "batch").alias("n"))
