@@ -147,6 +147,16 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_word_encoder_equals_the_tokenizer():
+    encode = packing.encoder(packing.vocabulary_path(packing.VOCABULARY))
+    chars = "aZzÉéßÿÞ.,;:!?)('s ḋİµªºक़ ½9_-  \x1c\x85\u0301<|>é한中\n\t"
+    texts = ["".join(rng.choices(chars, k=rng.randrange(40))) for _ in range(3000)] + ["x<|endoftext|>y", "it's IT'S 'tis", "É" * 3000, ""]
+    for text in texts:
+        assert encode(text) == np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    small = packing.WordEncoder(packing.vocabulary_path(packing.VOCABULARY), keep=3)
+    assert [small(x) for x in texts] == [encode(x) for x in texts]
+
+
 def test_plan_places_everything():
     for _ in range(50):
         counts = {rng.randrange(1, 101): rng.randrange(1, 9) for _ in range(rng.randrange(1, 40))}

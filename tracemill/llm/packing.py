@@ -1,6 +1,6 @@
 """Best-fit packing of tokenised documents with large-item matching.
 
-Documents are tokenised in Arrow batches (each distinct word of a batch once), ended by id 0, and cut only
+Documents are tokenised in Arrow batches (a word that a worker knows is not encoded again), ended by id 0, and cut only
 where they exceed the capacity. Packing needs the lengths alone: the number of pieces per length, at most
 `capacity` rows whatever the input, is planned on the driver. Pieces above a third of the capacity are
 matched greedily, largest first with the largest partner that fits, at most two per bin; smaller ones
@@ -17,7 +17,9 @@ from __future__ import annotations
 import bisect
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,29 +42,60 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Encodes whole texts with a tokenizer whose result never depends on more than a white-space-separated word."""
+#: Letters and what may follow them: one piece for the tokenizer each, whose bytes its table of printable bytes covers.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)]*)")
 
-    def __init__(self, path: str, keep: int = 300_000):
+
+class WordEncoder(dict):
+    """Word to ids (little-endian unsigned 32-bit) for a tokenizer whose result never depends on more than a white-space-separated word.
+
+    Plain words go to the tokenizer's model piece by piece, without its normalizer and splitter; other words to
+    the tokenizer as they are. Forgets all when it has grown too large."""
+
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        super().__init__()
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.tokenizer.no_padding(), self.tokenizer.no_truncation()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        words = [None if _WHOLE.search(x) else x.split() for x in texts]
-        new = list(set().union(*[x for x in words if x]) - self.known.keys())
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = list(set().union(*[x for x in words if x]))
-        self.known.update(zip(new, self._encode(new)))
-        of = self.known.__getitem__
-        return [self._encode([t])[0] if w is None else b"".join(map(of, w)) for t, w in zip(texts, words)]
+        self.model, self.pieces = self.tokenizer.model, {}
+        # Byte-level vocabularies write the printable bytes of Latin-1 as themselves, the others from U+0100 on.
+        other = [x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174)]
+        self.printable = {x: 256 + k for k, x in enumerate(other)}
+
+    def _piece(self, piece: str) -> bytes:
+        known = self.pieces
+        if (ids := known.get(piece)) is None:
+            if len(known) >= self.keep:
+                known.clear()
+            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.printable)
+            known[piece] = ids = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return ids
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if plain := _PLAIN.fullmatch(word):
+            ids = self._piece(plain[1].lower())
+            if plain[2]:
+                ids += self._piece(plain[2])
+        else:
+            ids = self._whole(word)
+        if len(self) >= self.keep:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        return self._whole(text) if _WHOLE.search(text) else b"".join(map(self.__getitem__, text.split()))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One per Python worker, so that what it knows serves the next task too."""
+    return WordEncoder(path)
 
 
 def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -72,13 +105,13 @@ def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 row, piece, start, length, ids = [], [], [], [], []
-                for k, data in enumerate(encode([x or "" for x in batch.column(0).to_pylist()])):
-                    data += end
+                for k, text in enumerate(batch.column(0).to_pylist()):
+                    data = encode(text or "") + end
                     for p, a in enumerate(range(0, len(data), 4 * capacity)):
                         cut = data[a : a + 4 * capacity]
                         row.append(k), piece.append(p), start.append(a // 4), length.append(len(cut) // 4), ids.append(cut)
