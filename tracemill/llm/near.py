@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import fresh_path, remove, save, table
 
 #: Production parameters; WORDS and PERCENT hold unless a caller asks for others.
 WORDS, PERCENT, BROADCAST_BYTES = 5, 80, 32 << 20
@@ -152,22 +152,20 @@ def _postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
             is_lead = lead == node
             is_lead &= np.arange(len(sigs)) == first[inverse]
             follow = ~is_lead & (lead != node)
-            by = np.where(is_lead, sigs, _mixed(node.astype(np.uint64)))
             keep = is_lead | follow
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(by[keep].view(np.int64)), pa.array(sigs[keep].view(np.int64)), pa.array(node[keep]), pa.array(lead[keep])], names=["by", "sig", "node", "lead"]
-            )
+            lead = np.where(is_lead, 0, lead)  # no node with tokens is named 0
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[keep].view(np.int64)), pa.array(node[keep]), pa.array(lead[keep])], names=["sig", "node", "lead"])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by sig and node; a row with lead = node stands for a batch."""
+        """Rows come sorted by sig and node; a row with lead 0 stands for a batch."""
         last = top = None
         for batch in batches:
-            sig, node, lead = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            sig, node, lead = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(sig):
                 continue
-            open_ = np.flatnonzero(lead == node)
+            open_ = np.flatnonzero(lead == 0)
             s, x = sig[open_], node[open_]
-            out_s, out_n, out_l = [sig[lead != node]], [node[lead != node]], [lead[lead != node]]
+            out_s, out_n, out_l = [sig[lead != 0]], [node[lead != 0]], [lead[lead != 0]]
             if len(s):
                 new = np.concatenate(([s[0] != last], s[1:] != s[:-1]))
                 starts = np.flatnonzero(new)
@@ -179,8 +177,8 @@ def _postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 last, top = s[-1], first[-1]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (out_s, out_n, out_l)], names=["sig", "node", "lead"])
 
-    rows = docs.select("text").mapInArrow(combine, "by bigint, sig bigint, node bigint, lead bigint")
-    return rows.repartition("by").sortWithinPartitions("sig", "node").mapInArrow(lead, "sig bigint, node bigint, lead bigint")
+    rows = docs.select("text").mapInArrow(combine, "sig bigint, node bigint, lead bigint")
+    return rows.repartition(F.when(F.col("lead") == 0, F.col("sig")).otherwise(F.xxhash64("node"))).sortWithinPartitions("sig", "node").mapInArrow(lead, "sig bigint, node bigint, lead bigint")
 
 
 MEMBER = "cluster bigint, node bigint, size bigint, near boolean, delta binary"
@@ -310,7 +308,10 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for each row of docs (doc_id, text)."""
     nodes = save(_nodes(docs, words), "near-nodes")
-    postings = save(_postings(docs, words, percent), "near-postings")
+    spark = docs.sparkSession
+    path = fresh_path(spark, "near-postings")
+    _postings(docs, words, percent).write.option("compression", "zstd").parquet(path)
+    postings = spark.read.schema("sig bigint, node bigint, lead bigint").parquet(path)
     wanted = postings.select("node").union(postings.select("lead")).distinct()
     rep = save(nodes.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("rep")), "near-reps")
     few = rep.count() * 64 <= BROADCAST_BYTES
@@ -330,6 +331,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     weight = weight.select("node", "w").union(weight.select("lead", "w")).groupBy("node").agg(F.sum("w").alias("w"))
     pivots = every.join(weight, "node").groupBy("root").agg(F.max(F.struct("w", "node"))["node"].alias("pivot"))
     every = save(every.join(pivots, "root").select(F.col("root").alias("cluster"), "node", "pivot"), "near-clusters")
+    remove(spark, path)  # all that reads the postings is written
     members = save(_members(every, texts, words, percent), "near-members")
     direct = members.where("near").join(every, ["cluster", "node"]).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     roots = components(save(direct.union(_links(members, percent)), "near-links"))
