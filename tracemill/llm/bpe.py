@@ -2,14 +2,15 @@
 
 Documents are split into words at boundaries that the tokenizer's own splitting never crosses (from a
 character to the white space after it). A block of documents keeps the list of its distinct words, and
-each document the positions of its words in that list. The words of all blocks meet in a table that is
-partitioned and sorted by word: each distinct word is encoded once, and its ids go back to its places in
-the blocks' lists and from there, joined by block, to the positions in the documents.
+each document the positions of its words in that list. A list is dealt to buckets by word, one packed row
+per block and bucket, so the words of all blocks meet by bucket: each distinct word is encoded once, and
+its ids go back, packed in the same order, to the blocks' lists, where they are joined by position.
 Decoding maps each id to its piece through the id-to-piece table, which the vocabulary file bounds.
 
 A block is named by a digest of its list, so that lists and positions, which are computed apart, can only
 meet if they agree; a block without its list is an error, never a wrong result. Blocks are bounded in
-words; a word that is everywhere comes once per block.
+words; a word that is everywhere comes once per block. A task holds the distinct words of one bucket, and
+there are BUCKETS of them for each shuffle partition.
 
 Defined results: null text counts as empty and has no ids; special tokens in a text are their own ids, as
 the tokenizers library has it; repeated rows are encoded alike; texts are read whole; an empty table
@@ -29,13 +30,14 @@ import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
 from .packing import vocabulary_path
 
 #: Production parameters.
-VOCABULARY, BLOCK_WORDS = "byte_bpe_50k.json", 4_000_000
+VOCABULARY, BLOCK_WORDS, BUCKETS = "byte_bpe_50k.json", 4_000_000, 8
+#: Order of a block's rows after those of its buckets: where its words are, then its documents.
+_PLACES, _DOCS = 1 << 30, (1 << 30) + 1
 _UNSAFE = re.compile(r"\s[ \n]|\x00")
 _SLOW = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 
@@ -91,9 +93,7 @@ class _Block:
         place[order] = np.arange(len(order), dtype=np.uint32)
         words = list(self.ids)
         words = [words[k] for k in order.tolist()]
-        digest = xxhash.xxh3_64(str(len(words)))
-        for w in words:
-            digest.update(w.encode("utf-8", "surrogatepass") + b"\x00")
+        digest = xxhash.xxh3_64("\x00".join(words).encode("utf-8", "surrogatepass"), seed=len(words))
         return int(np.int64(np.uint64(digest.intdigest()))), words, [(d, place[x] if len(x) else x) for d, x in self.docs]
 
 
@@ -109,73 +109,129 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
         yield block.close()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers by planes: the upper bytes are nearly always 0."""
+    return np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack(parts: list[bytes], codec: zstandard.ZstdCompressor) -> bytes:
+    lengths = np.fromiter(map(len, parts), np.uint32, len(parts))
+    return codec.compress(len(parts).to_bytes(8, "little") + _planes(lengths) + b"".join(parts))
+
+
+def _unpack(data: bytes, codec: zstandard.ZstdDecompressor) -> list[bytes]:
+    raw = codec.decompress(data)
+    at = 8 + 4 * int.from_bytes(raw[:8], "little")
+    ends = (at + np.cumsum(_numbers(raw[8:at]), dtype=np.int64)).tolist()
+    return [raw[x:y] for x, y in zip([at, *ends], ends)]
+
+
+def _dealt(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The order of words by bucket and in it by bytes, where each bucket starts in that order, and the words' bytes."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)) % np.uint64(buckets)
+    order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+    order = order[np.argsort(bucket[order], kind="stable")]
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)), raw
+
+
 def encode(docs: DataFrame, path: str | None = None, block_words: int = BLOCK_WORDS, finish=None, schema: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) per document; or what finish makes of (doc_ids, list of id arrays), of the given schema."""
     path = path or vocabulary_path(VOCABULARY)
     docs = docs.select("doc_id", "text")
     schema = schema or "doc_id bigint, ids array<int>"
 
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = "block bigint, part int, doc_id bigint, data binary"
+    names = ["block", "part", "doc_id", "data"]
+
+    def rows_of(block: list, part: list, doc_id: list, data: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(part, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(data, pa.binary())], names=names)
+
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor(level=3)
         for name, words, _ in _blocks(batches, block_words):
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part, pa.string())], names=["block", "at", "word"])
+            order, starts, raw = _dealt(words, buckets)
+            raw = [raw[k] for k in order.tolist()]
+            full = np.flatnonzero(starts[1:] > starts[:-1]).tolist()
+            data = [_pack(raw[starts[k] : starts[k + 1]], codec) for k in full]
+            yield rows_of([name] * len(full), full, [None] * len(full), data)
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = zstandard.ZstdCompressor(level=1)
-        for name, _, found in _blocks(batches, block_words):
+        codec = zstandard.ZstdCompressor(level=3)
+        for name, words, found in _blocks(batches, block_words):
+            yield rows_of([name], [_PLACES], [None], [codec.compress(_planes(_dealt(words, buckets)[0]))])
             for at in range(0, len(found), 500):
                 part = found[at : at + 500]
-                # By planes: the upper bytes are nearly always 0.
-                packed = [codec.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes()) for _, x in part]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name, np.int64)), pa.array([-1] * len(part), pa.int32()), pa.array([d for d, _ in part], pa.int64()), pa.array(packed, pa.binary())], names=["block", "at", "doc_id", "data"])
+                yield rows_of([name] * len(part), [_DOCS] * len(part), [d for d, _ in part], [codec.compress(_planes(x)) for _, x in part])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by word: each distinct word is encoded once and its ids go to all its places."""
-        tokenizer, last, ids = _tokenizer(path), None, b""
+        """Rows come sorted by bucket: each distinct word is encoded once and its ids go to all blocks that have it."""
+        tokenizer, last, ids = _tokenizer(path), None, {}
+        packer, unpacker = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for whole in batches:
-            for start in range(0, whole.num_rows, 5_000):
-                batch = whole.slice(start, 5_000)
-                words = batch.column(2).to_pylist()
-                new = [w for w, v in zip(words, [last, *words]) if w != v]
-                got = iter(tokenizer.encode_batch_fast(new, add_special_tokens=False))
-                data = []
-                for w in words:
-                    if w != last:
-                        last, ids = w, np.array(next(got).ids, "<u4").tobytes()
-                    data.append(ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(len(data), pa.int64()), pa.array(data, pa.binary())], names=["block", "at", "doc_id", "data"])
+            for start in range(0, whole.num_rows, 200):
+                batch = whole.slice(start, 200)
+                block, part, _, data = (c.to_pylist() for c in batch.columns)
+                out = []
+                for k, x in zip(part, data):
+                    if k != last:
+                        last, ids = k, {}
+                    words = _unpack(x, unpacker)
+                    new = [w for w in words if w not in ids]
+                    if new:
+                        got = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
+                        ids.update((w, np.array(g.ids, "<u4").tobytes()) for w, g in zip(new, got))
+                    own = list(map(ids.__getitem__, words))
+                    count = np.fromiter(map(len, own), np.uint32, len(own)) // 4
+                    out.append(packer.compress(len(own).to_bytes(8, "little") + _planes(count) + _planes(np.frombuffer(b"".join(own), "<u4"))))
+                yield rows_of(block, part, [None] * len(out), out)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by block: first its list, then its documents."""
-        codec, name, words = zstandard.ZstdDecompressor(), None, {}
+        """Rows come by block: its buckets, where their words are in its list, then its documents."""
+        codec, name, parts, words = zstandard.ZstdDecompressor(), None, [], []
         done = finish() if finish else None
         for whole in batches:
             for start in range(0, whole.num_rows, 2_000):
                 batch = whole.slice(start, 2_000)
-                block, at, doc_ids, data = (c.to_pylist() for c in batch.columns)
+                block, part, doc_ids, data = (c.to_pylist() for c in batch.columns)
                 out_d, out_i = [], []
-                for b, k, d, x in zip(block, at, doc_ids, data):
+                for b, k, d, x in zip(block, part, doc_ids, data):
                     if b != name:
-                        name, words = b, {}
-                    if k >= 0:
-                        words[k] = x
-                        continue
-                    raw = codec.decompress(x, max_output_size=1 << 31) if x else b""
-                    spots = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-                    out_d.append(d)
-                    out_i.append(np.frombuffer(b"".join(map(words.__getitem__, spots.tolist())), "<u4"))
+                        name, parts, words = b, [], None
+                    raw = codec.decompress(x)
+                    if k < _PLACES:
+                        if not parts or parts[-1][0] != k:  # equal blocks have equal lists
+                            parts.append((k, raw))
+                    elif k == _PLACES:
+                        if words is None:
+                            own = []
+                            for _, y in parts:
+                                at = 8 + 4 * int.from_bytes(y[:8], "little")
+                                ids, ends = _numbers(y[at:]).tobytes(), (4 * np.cumsum(_numbers(y[8:at]), dtype=np.int64)).tolist()
+                                own += [ids[p:q] for p, q in zip([0, *ends], ends)]
+                            order = _numbers(raw).tolist()
+                            if len(order) != len(own):
+                                raise ValueError("a block's list and positions differ")
+                            words, parts = [b""] * len(own), []
+                            for p, y in zip(order, own):
+                                words[p] = y
+                    else:
+                        out_d.append(d)
+                        out_i.append(np.frombuffer(b"".join(map(words.__getitem__, _numbers(raw).tolist())), "<u4"))
                 if out_d:
                     if done:
                         yield done(out_d, out_i)
                     else:
                         yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.int64()), pa.array([x.astype(np.int32) for x in out_i], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    listed = docs.mapInArrow(lists, "block bigint, at int, word string").repartition("word").sortWithinPartitions("word")
-    back = listed.mapInArrow(encoded, "block bigint, at int, doc_id bigint, data binary")
-    rows = back.union(docs.mapInArrow(positions, "block bigint, at int, doc_id bigint, data binary"))
-    # A block's documents have at = -1 and sort after its list by the flag.
-    return rows.repartition("block").sortWithinPartitions("block", F.col("at") < 0).mapInArrow(joined, schema)
+    listed = docs.mapInArrow(lists, row).repartition("part").sortWithinPartitions("part")
+    rows = listed.mapInArrow(encoded, row).union(docs.mapInArrow(positions, row))
+    return rows.repartition("block").sortWithinPartitions("block", "part").mapInArrow(joined, schema)
 
 
 def decode(ids: np.ndarray, pieces: list[bytes]) -> str:
