@@ -6,9 +6,10 @@
    parts differ, so some part of two linked sets is equal. A signature is the hash of a part. (A set with
    so many empty parts that only empty ones might agree also gives those.)
 3. Nodes that share signatures, directly or through others, are a cluster; signatures are combined within
-   each batch before the shuffle, so a signature of a third of all rows arrives once per batch. The node
-   whose signatures are shared most is the cluster's pivot, and every set is kept as its difference from
-   the pivot's. What links with the pivot is connected at once.
+   each batch before the shuffle, so a signature of a third of all rows arrives once per batch, and are
+   dealt to buckets in packed rows, one per batch and bucket. The node whose signatures are shared most for
+   its size is the cluster's pivot, and every set is kept as its difference from the pivot's. What links with
+   the pivot is connected at once.
 4. The rest are queries. Clusters are dealt in blocks, and blocks in groups of similar members. A group
    stores its members' token union as a matrix of tokens and members; the overlap of a query with the
    union bounds its overlap with every member, only groups where a link stays possible are opened, and
@@ -32,6 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ from .common import fresh_path, remove, save, table
 WORDS, PERCENT, BROADCAST_BYTES = 5, 80, 32 << 20
 #: Members of a cluster that one task compares with as many others, and of a group of the matrix.
 BLOCK, GROUP = 4096, 256
+#: Buckets of signatures for each shuffle partition; a task holds one at a time.
+BUCKETS = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -131,60 +135,125 @@ def _nodes(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id bigint, node bigint, size bigint")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, for a codec to find the even ones."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+
+
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel() if raw else np.empty(0, kind)
+
+
+def _batch_edges(nodes: np.ndarray, sigs: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of signatures and places in nodes (ascending): the distinct signatures, in order, their first nodes and numbers
+    of nodes; then the distinct (node, first node) that share one; then per node how often others have its signatures."""
+    order = np.lexsort((who, sigs))
+    sigs, who = sigs[order], who[order]
+    new = np.ones(len(sigs), bool)
+    new[1:] = (sigs[1:] != sigs[:-1]) | (who[1:] != who[:-1])  # parts of one set do not repeat a signature but by chance
+    sigs, who = sigs[new], who[new]
+    new = np.ones(len(sigs), bool)
+    new[1:] = sigs[1:] != sigs[:-1]
+    starts = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    count = np.diff(np.append(starts, len(sigs)))
+    shared = np.bincount(who, weights=count[run] - 1, minlength=len(nodes)).astype(np.int64)
+    pair = np.unique(who[~new].astype(np.int64) * len(nodes) + who[starts][run[~new]])
+    return sigs[starts], who[starts], count, pair // max(len(nodes), 1), pair % max(len(nodes), 1), shared
+
+
+POSTING = "node bigint, lead bigint, w bigint"
+
+
 def _postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """sig, node, lead: for each signature of several nodes, its nodes but the smallest with a smaller one as leader."""
+    """node, lead, w: pairs of nodes that share signatures, enough to connect all that do, with w 0; and (node, node, w),
+    where the sum of w tells how widely the signatures of a node are shared."""
+    spark = docs.sparkSession
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def edges(node: list, lead: list, w: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (node, lead, w)], names=["node", "lead", "w"])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed rows: a bucket's distinct signatures as steps, their first nodes and counts; edges of the batch travel in some bucket."""
+        codec = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             sets = {}
-            for text in batch.column(0).to_pylist():
-                tokens = shingles(text, n)
+            for text in batch.column(0):
+                tokens = shingles(text.as_py(), n)
                 if len(tokens) and (node := node_of(tokens)) not in sets:
                     sets[node] = signatures(tokens, percent)
             if not sets:
                 continue
             nodes = np.sort(np.fromiter(sets, np.int64, len(sets)))
-            sigs = np.concatenate([sets[x] for x in nodes.tolist()])
-            node = np.repeat(nodes, [len(sets[x]) for x in nodes.tolist()])
-            # Nodes ascend, so the first occurrence of a signature has its smallest node.
-            _, first, inverse = np.unique(sigs, return_index=True, return_inverse=True)
-            lead = node[first][inverse]
-            is_lead = lead == node
-            is_lead &= np.arange(len(sigs)) == first[inverse]
-            follow = ~is_lead & (lead != node)
-            keep = is_lead | follow
-            lead = np.where(is_lead, 0, lead)  # no node with tokens is named 0
-            yield pa.RecordBatch.from_arrays([pa.array(sigs[keep].view(np.int64)), pa.array(node[keep]), pa.array(lead[keep])], names=["sig", "node", "lead"])
+            own = [sets[x] for x in nodes.tolist()]
+            sigs, who, count, a, b, shared = _batch_edges(nodes, np.concatenate(own), np.repeat(np.arange(len(nodes), dtype=np.int32), list(map(len, own))))
+            bucket = (((sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)  # ascends with the signatures
+            starts = np.searchsorted(bucket, np.arange(buckets + 1))
+            # Where a batch's pairs go does not matter: they are spread by their node.
+            home, back = np.arange(len(nodes)) % buckets, np.zeros(len(nodes), np.int32)
+            order = np.argsort(home[a], kind="stable") if len(a) else a
+            a, b = a[order], b[order]
+            pairs = np.searchsorted(home[a], np.arange(buckets + 1))
+            out_k, out_x = [], []
+            for k in range(buckets):
+                at, to = slice(starts[k], starts[k + 1]), slice(pairs[k], pairs[k + 1])
+                ones = np.flatnonzero(shared[k::buckets]) * buckets + k
+                if at.start == at.stop and to.start == to.stop and not len(ones):
+                    continue
+                used = np.unique(np.concatenate((who[at], a[to], b[to], ones)))
+                back[used] = np.arange(len(used))
+                # Within a bucket the upper 56 bits tell signatures apart well enough: equal ones stay equal.
+                steps = np.diff(sigs[at] >> np.uint64(8), prepend=np.uint64(0))
+                parts = [nodes[used].tobytes(), _planes(steps), _planes(back[who[at]]), _planes(count[at].astype(np.int32)), _planes(back[a[to]]), _planes(back[b[to]]), _planes(back[ones]), _planes(shared[ones])]
+                head = np.array([len(x) for x in parts], np.int64).tobytes()
+                out_k.append(k), out_x.append(codec.compress(head + b"".join(parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(out_k, pa.int32()), pa.array(out_x, pa.binary())], names=["bucket", "data"])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by sig and node; a row with lead 0 stands for a batch."""
-        last = top = None
+        """Rows come sorted by bucket: the batches' signatures meet, and their first nodes get the smallest as leader."""
+        codec, last, held = zstandard.ZstdDecompressor(), None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                sig, node, count = (np.concatenate(x) for x in zip(*held))
+                order = np.lexsort((node, sig))
+                sig, node, count = sig[order], node[order], count[order]
+                new = np.ones(len(sig), bool)
+                new[1:] = sig[1:] != sig[:-1]
+                starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+                top = node[starts][run]
+                more = np.add.reduceat(count, starts)[run] - count if len(starts) else count
+                other, wide = top != node, more > 0
+                pair = np.unique(np.stack((node[other], top[other])), axis=1) if other.any() else np.empty((2, 0), np.int64)
+                names, of = np.unique(node[wide], return_inverse=True)
+                w = np.bincount(of, weights=more[wide], minlength=len(names))
+                yield edges([pair[0], names], [pair[1], names], [np.zeros(pair.shape[1]), w])
+
         for batch in batches:
-            sig, node, lead = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(sig):
-                continue
-            open_ = np.flatnonzero(lead == 0)
-            s, x = sig[open_], node[open_]
-            out_s, out_n, out_l = [sig[lead != 0]], [node[lead != 0]], [lead[lead != 0]]
-            if len(s):
-                new = np.concatenate(([s[0] != last], s[1:] != s[:-1]))
-                starts = np.flatnonzero(new)
-                which = np.cumsum(new) - 1
-                tops = x[starts]
-                first = np.where(which >= 0, tops[np.maximum(which, 0)] if len(tops) else 0, top if top is not None else 0)
-                other = first != x
-                out_s.append(s[other]), out_n.append(x[other]), out_l.append(first[other])
-                last, top = s[-1], first[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (out_s, out_n, out_l)], names=["sig", "node", "lead"])
-
-    rows = docs.select("text").mapInArrow(combine, "sig bigint, node bigint, lead bigint")
-    return rows.repartition(F.when(F.col("lead") == 0, F.col("sig")).otherwise(F.xxhash64("node"))).sortWithinPartitions("sig", "node").mapInArrow(lead, "sig bigint, node bigint, lead bigint")
+            for k, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != last:
+                    yield from done()
+                    last, held = k, []
+                raw = codec.decompress(x)
+                ends = 64 + np.cumsum(np.frombuffer(raw[:64], np.int64))
+                parts = [raw[p:q] for p, q in zip([64, *ends[:-1].tolist()], ends.tolist())]
+                nodes = np.frombuffer(parts[0], np.int64)
+                who, count, a, b, ones = (_numbers(parts[j], "<i4") for j in (2, 3, 4, 5, 6))
+                held.append((np.cumsum(_numbers(parts[1], "<u8"), dtype=np.uint64), nodes[who], count.astype(np.int64)))
+                if len(a) or len(ones):
+                    yield edges([nodes[a], nodes[ones]], [nodes[b], nodes[ones]], [np.zeros(len(a)), _numbers(parts[7], "<i8")])
+        yield from done()
+
+    rows = docs.select("text").mapInArrow(combine, "bucket int, data binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lead, POSTING)
 
 
 MEMBER = "cluster bigint, node bigint, size bigint, near boolean, delta binary"
 
 
-def _members(clusters: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _members(texts: DataFrame, pivots: DataFrame, n: int, percent: int) -> DataFrame:
     """For each node its set as difference (sorted tokens in one of the two sets) from its cluster's pivot, and whether it links with the pivot."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +273,9 @@ def _members(clusters: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
                 delta.append(d.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(near, pa.bool_()), pa.array(delta, pa.binary())], names=["cluster", "node", "size", "near", "delta"])
 
-    other = texts.select(F.col("node").alias("pivot"), F.col("text").alias("other"))
-    return clusters.join(texts, "node").join(other, "pivot").select("cluster", "node", "pivot", "text", "other").mapInArrow(work, MEMBER)
+    # Repeated rows of a pivot would repeat its members.
+    other = pivots.select("pivot", F.col("text").alias("other")).dropDuplicates(["pivot"])
+    return texts.join(other, "pivot").select("cluster", "node", "pivot", "text", "other").mapInArrow(work, MEMBER)
 
 
 def _block_links(rows: list[tuple], percent: int, blocks: tuple[int, int]) -> list[tuple[int, int]]:
@@ -311,28 +381,36 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     spark = docs.sparkSession
     path = fresh_path(spark, "near-postings")
     _postings(docs, words, percent).write.option("compression", "zstd").parquet(path)
-    postings = spark.read.schema("sig bigint, node bigint, lead bigint").parquet(path)
-    wanted = postings.select("node").union(postings.select("lead")).distinct()
-    rep = save(nodes.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("rep")), "near-reps")
+    postings = spark.read.schema(POSTING).parquet(path)
+    pairs = postings.where("w = 0")
+    wanted = pairs.select("node").union(pairs.select("lead")).distinct()
+    rep = save(nodes.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size")), "near-reps")
     few = rep.count() * 64 <= BROADCAST_BYTES
-    found = docs.select("doc_id", "text").join(F.broadcast(rep) if few else rep, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    clusters = components(pairs.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+    every = clusters.union(clusters.select("root", "root").distinct())
+    # The pivot: the node whose signatures are shared most widely for its size. A long text that shares passages with
+    # many would make every difference as long as itself.
+    weight = postings.groupBy("node").agg(F.sum("w").alias("w"))
+    every = every.join(rep, "node")
+    pivots = every.join(weight, "node").groupBy("root").agg(F.max(F.struct(F.col("w") / F.col("size"), "node"))["node"].alias("pivot"))
+    every = every.join(pivots, "root").select(F.col("root").alias("cluster"), "node", "pivot", "rep")
+    every = save(every, "near-clusters")
+    found = docs.select("doc_id", "text").join(F.broadcast(every) if few else every, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cluster", "node", "pivot", "text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a repeated doc_id can have other texts."""
+        """Rows of a repeated doc_id can have other texts; equal rows do no harm, but one of a task is enough."""
+        seen = set()
         for batch in batches:
-            yield batch.filter(pa.array([node_of(shingles(t, words)) == x for x, t in zip(*(c.to_pylist() for c in batch.columns))], pa.bool_()))
-
-    texts = save(found.mapInArrow(own, "node bigint, text string").dropDuplicates(["node"]), "near-texts")
-    clusters = components(postings.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
-    every = clusters.union(clusters.select("root", "root").distinct())
-    # The pivot: the node whose signatures are shared most widely.
-    shared = postings.groupBy("sig").agg(F.count("*").alias("w"))
-    weight = postings.join(shared, "sig")
-    weight = weight.select("node", "w").union(weight.select("lead", "w")).groupBy("node").agg(F.sum("w").alias("w"))
-    pivots = every.join(weight, "node").groupBy("root").agg(F.max(F.struct("w", "node"))["node"].alias("pivot"))
-    every = save(every.join(pivots, "root").select(F.col("root").alias("cluster"), "node", "pivot"), "near-clusters")
+            good = []
+            for x, t in zip(batch.column(1).to_pylist(), batch.column(3)):
+                good.append(x not in seen and node_of(shingles(t.as_py(), words)) == x)
+                if good[-1]:
+                    seen.add(x)
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    texts, centres = (x.mapInArrow(own, "cluster bigint, node bigint, pivot bigint, text string") for x in (found, found.where("node = pivot")))
     remove(spark, path)  # all that reads the postings is written
-    members = save(_members(every, texts, words, percent), "near-members")
+    members = save(_members(texts, centres, words, percent), "near-members")
     direct = members.where("near").join(every, ["cluster", "node"]).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     roots = components(save(direct.union(_links(members, percent)), "near-links"))
     rows = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
