@@ -46,7 +46,7 @@ STAGES = [
     ("jaccard_join", near_stage),
     ("best_fit_packing", packing_stage),
 ]
-#: Similarity groups and packing have no SQL form. The operators are tested against brute force; the pipeline as a whole is not yet.
+#: Similarity groups and packing have no SQL form: the operators are tested against brute force, the pipeline on planted cases.
 ORACLE_SQL = None
 
 
