@@ -230,6 +230,22 @@ def test_html_without_names(spark):
     assert all(got[k] == "words and more words. " * 9 + str(k) for k in got)
 
 
+def test_html_template_classes(spark):
+    # No name tells the long legal text or the label from the article: only their classes do.
+    page = "<html><body><div class=a><p>{own}</p><div class=b>Label of the house</div></div><div class=c><p>{legal}</p></div></body></html>"
+    legal = "The very same long legal words stand here on each of the pages. " * 20
+    rows = [(k, f"http://t/{k}", page.format(own=f"Story {k} has words of its own. " * 4, legal=legal)) for k in range(5)]
+    # Three copies among other pages: text common to some pages is no template.
+    rows += [(10 + k, "http://t/copy", page.format(own="A copied story. " * 6, legal=legal)) for k in range(3)]
+    rows += [(None, "http://t/null", page.format(own=f"Null {k} has words of its own. " * 4, legal=legal)) for k in range(2)]
+    # All pages alike: nothing is taken for the template's.
+    rows += [(20 + k, "http://same/", "<html><body><div class=a><p>One story told again.</p></div></body></html>") for k in range(3)]
+    got = [(r.page_id, r.text) for r in html.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()]
+    want = [(k, (f"Story {k} has words of its own. " * 4).strip()) for k in range(5)] + [(10 + k, ("A copied story. " * 6).strip()) for k in range(3)]
+    want += [(None, (f"Null {k} has words of its own. " * 4).strip()) for k in range(2)] + [(20 + k, "One story told again.") for k in range(3)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 2, "assistant", r"\<|done|></s>"), (1, 3, None, None), (2, 0, "assistant", ""), (None, 0, "user", "x" * 9999), (None, 0, "user", "x" * 9999)]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("formatted", F.lit("clash"))

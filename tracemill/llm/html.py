@@ -4,13 +4,16 @@ Pages become tokens: a structural tag under its path (tag names with their class
 a block under its path. Over the pages of a host each token has an occurrence vector (how often it occurs
 on which page). The vector is kept as a fingerprint that any split of the pages can build in parts: the
 exclusive or of a hash of (page, count), the number of pages and the sum of counts. Tokens with one
-fingerprint form an equivalence class. A class is valid if it occurs on MIN_SHARE of the host's pages and
-on MIN_PAGES at least; valid classes nest by their paths and make the host's template. Text that a
-class of its own holds is the template's; what lies between is in slots. The template's tags tell what a
-slot is for (menus, notices, adverts and so on), its sums of text and link text tell lists of links from
-prose; the slots of the article are extracted from every page, whole and in page order, whether or not
-their text is common to pages. Pages whose host has no template with an article (few pages, odd pages) are
-judged by the same rules on themselves alone.
+fingerprint form an equivalence class. A class is valid if it occurs on MIN_SHARE of the host's pages, on
+MIN_PAGES at least, and has MIN_SIZE tokens; valid classes nest by their paths and make the host's template.
+A text in the class of a tag on its path is the template's; what lies between is in slots. The article's
+container is the tag of a valid class that holds most of the slots' prose: text of the template does not
+count. The tags' names tell what a slot is for (menus, notices, adverts and so on), its sums of text and
+link text tell lists of links from prose. The slots of the article are extracted from every page, whole and in
+page order, also where some of their text is common to pages; only a text that its own tag always holds (a
+label) is dropped, and only if such texts are less than half of the container's. Hosts whose slots are empty
+(all pages alike) have no text of the template. Pages whose host has no template with an article (few pages, odd
+pages) are judged by the same rules on themselves alone.
 
 Templates are bounded by 1 / MIN_SHARE times a page's mean number of distinct paths per host. They are
 broadcast only if their measured size is at most BROADCAST_BYTES; beyond that they are joined by host.
@@ -26,7 +29,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -37,6 +42,8 @@ from .common import save, table
 
 #: Production parameters.
 MIN_SHARE, MIN_PAGES, MAX_LINK_SHARE, BROADCAST_BYTES = 0.05, 3, 0.6, 32 << 20
+#: Tokens of a valid class.
+MIN_SIZE = 2
 
 #: HTML's elements, by how they are read.
 DROPPED = "script style noscript template textarea select button svg math iframe object canvas audio video title"
@@ -169,6 +176,27 @@ def article(slots: dict[str, tuple[int, int]], paths: list[str]) -> str | None:
     return max(most, key=len, default="" if total > 0 else None)
 
 
+class Template(NamedTuple):
+    """The container's path, the paths of its link lists, and the (path, text) that are the template's own."""
+
+    root: str | None = None
+    lists: frozenset[str] = frozenset()
+    fixed: frozenset[tuple[str, int]] = frozenset()
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _text_of(text: str) -> int:
+    """A block's name as a token; never 0, which names tags."""
+    return _signed(xxhash.xxh64_intdigest(text) | 1)
+
+
+def _below(path: str, root: str) -> bool:
+    return path == root or path.startswith(root + "/")
+
+
 def _sums(found: list[tuple[str, str, int]]) -> dict[str, tuple[int, int]]:
     out: dict[str, tuple[int, int]] = {}
     for path, text, links in found:
@@ -177,20 +205,21 @@ def _sums(found: list[tuple[str, str, int]]) -> dict[str, tuple[int, int]]:
     return out
 
 
-def extract(page: str | None, template: tuple[str, frozenset[str]] | None) -> str:
-    """The article of a page. template: the container's path and the paths of its link lists."""
+def extract(page: str | None, template: Template | None) -> str:
+    """The article of a page."""
     paths, found = blocks(page or "")
-    root, lists = template or (None, frozenset())
+    root, lists, fixed = template or Template()
     if root is None or root not in paths:
         sums = _sums(found)
         root = article(sums, list(paths))
-        lists = frozenset()
+        lists = fixed = frozenset()
         if root is None:
             return ""
     # A list of links inside the article is a menu by its own measure or by the host's.
     own = _sums(found)
     listed = {p for p, (t, k) in own.items() if p in lists and k > MAX_LINK_SHARE * t}
-    return "\n\n".join(text for path, text, _ in found if (path == root or path.startswith(root + "/")) and path not in listed and not _boiler(path, root))
+    kept = (b for b in found if _below(b[0], root) and b[0] not in listed and not _boiler(b[0], root))
+    return "\n\n".join(text for path, text, _ in kept if not fixed or (path, _text_of(text)) not in fixed)
 
 
 def _host(url: str | None) -> str:
@@ -205,28 +234,26 @@ def vectors(pages: DataFrame) -> DataFrame:
     kinds = pa.schema([("host", pa.string()), ("path", pa.string()), *((n, pa.int64()) for n in ("text", "vector", "pages", "occurrences", "chars", "links"))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def signed(x: int) -> int:
-            return x - (1 << 64) if x >> 63 else x
-
         def out(sums: dict) -> pa.RecordBatch:
-            rows = [(*k, signed(v[0]), *v[1:]) for k, v in sums.items()]
+            rows = [(*k, _signed(v[0]), *v[1:]) for k, v in sums.items()]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
 
         sums: dict[tuple[str, str, int], list[int]] = {}
         for batch in batches:
             for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns)):
                 host = _host(url)
+                name = f"{page_id}:{xxhash.xxh64_intdigest(page or '')}"  # page_ids can be null or repeated
                 paths, found = blocks(page or "")
                 tokens = {(p, 0): [n, 0, 0] for p, n in paths.items()}
                 for p, text, links in found:
-                    t = tokens.setdefault((p, signed(xxhash.xxh64_intdigest(text) | 1)), [0, 0, 0])
-                    tag = tokens.setdefault((p, 0), [0, 0, 0])
+                    t = tokens.setdefault((p, _text_of(text)), [0, 0, 0])
                     t[0] += 1
-                    tag[1] += len(text)
-                    tag[2] += min(links, len(text))
+                    for x in (t, tokens.setdefault((p, 0), [0, 0, 0])):
+                        x[1] += len(text)
+                        x[2] += min(links, len(text))
                 for (p, text), (n, chars, links) in tokens.items():
                     s = sums.setdefault((host, p, text), [0, 0, 0, 0, 0])
-                    s[0] ^= xxhash.xxh64_intdigest(f"{page_id}:{n}")
+                    s[0] ^= xxhash.xxh64_intdigest(f"{name}:{n}")
                     s[1] += 1
                     s[2] += n
                     s[3] += chars
@@ -242,30 +269,48 @@ def vectors(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, nodes: the tags of the host's valid classes with class, share of text that is the template's own, and sums of text."""
+    """host, nodes: the tags and texts with enough support on the host, with their class and sums of text."""
     found = vectors(pages)
     tokens = save(found, "html-vectors")
     hosts = tokens.where("text = 0").groupBy("host").agg(F.max("pages").alias("all_pages"))
     valid = tokens.join(hosts, "host").where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("all_pages")))
-    fixed = valid.where("text != 0").groupBy("host", "path").agg(F.max("pages").alias("fixed"))
-    # Equal vectors: one class. Its nesting is that of its paths.
-    node = F.struct("path", F.hash("vector", "pages", "occurrences").alias("class"), "pages", "chars", "links", F.coalesce("fixed", F.lit(0)).alias("fixed"))
-    return valid.where("text = 0").join(fixed, ["host", "path"], "left").groupBy("host").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    # Equal vectors: one class.
+    node = F.struct("path", "text", F.xxhash64("vector", "pages", "occurrences").alias("class"), "chars", "links")
+    return valid.groupBy("host").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
 
 
-def deduce(nodes: list[dict] | None) -> tuple[str, frozenset[str]] | None:
-    """The article's container and its link lists by a host's template.
+def deduce(nodes: list[dict] | None) -> Template | None:
+    """The article's container, its link lists and the template's own texts in it, by a host's tokens with enough support.
 
-    Classes nest where the path of one extends a path of the other; a node whose parent is in no valid class is left out."""
+    A tag of a valid class nests in the nearest tag of a valid class above it; one that has none above it is left out."""
     if not nodes:
         return None
-    known = {n["path"] for n in nodes}
-    nested = [n for n in nodes if (up := n["path"].rpartition("/")[0]) == "" or up in known]
-    slots = {n["path"]: (n["chars"], n["links"]) for n in nested}
-    root = article(slots, [n["path"] for n in nested])
+    sizes = Counter(n["class"] for n in nodes)
+    tags = {n["path"]: n for n in nodes if not n["text"]}
+    valid = {p for p, n in tags.items() if sizes[n["class"]] >= MIN_SIZE}
+
+    def above(path: str) -> Iterator[str]:
+        while path := path.rpartition("/")[0]:
+            yield path
+
+    nested = [p for p in tags if p in valid and (p.count("/") == 1 or any(up in valid for up in above(p)))]
+    own = [n for n in nodes if n["text"] and any(tags[p]["class"] == n["class"] for p in (n["path"], *above(n["path"])) if p in tags)]
+    whole = {p: (n["chars"], n["links"]) for p, n in tags.items() if (up := p.rpartition("/")[0]) == "" or up in tags}
+    slots = dict(whole)
+    for n in own:
+        if n["path"] in slots:
+            t, k = slots[n["path"]]
+            slots[n["path"]] = (t - n["chars"], k - n["links"])
+    if not any(t > 0 for t, _ in slots.values()):
+        slots, own = whole, []
+    root = article(slots, nested)
     if root is None:
         return None
-    return root, frozenset(p for p, (t, k) in slots.items() if p.startswith(root + "/") and t and k > MAX_LINK_SHARE * t)
+    lists = frozenset(p for p, (t, k) in whole.items() if p.startswith(root + "/") and t and k > MAX_LINK_SHARE * t)
+    labels = [n for n in own if _below(n["path"], root) and n["path"] in tags and tags[n["path"]]["class"] == n["class"]]
+    if 2 * sum(n["chars"] for n in labels) >= sum(t for p, (t, _) in whole.items() if _below(p, root)):
+        labels = []
+    return Template(root, lists, frozenset((n["path"], n["text"]) for n in labels))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -278,7 +323,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple | None] = {}
+        cache: dict[str, Template | None] = {}
         for batch in batches:
             page_id, url, page, hosts, nodes = batch.columns
             texts = []
