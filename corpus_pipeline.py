@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the
 columns of documents. run() writes each stage's rows to the shared folder and reads them for the next.
 Null texts count as empty and are rejected by the first stage; repeated rows stay repeated until the
-third stage, which keeps one row per group of near copies (the smallest doc_id); an empty table passes as one.
+third stage, which keeps one row per group of near copies (the smallest doc_id, nulls last). Rows are told apart
+by all their columns: doc_ids can be null or repeated. Texts without words are copies of nothing; equal rows of
+them stay once. An empty table passes as one.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import lines, near, packing, quality
-from tracemill.llm.common import save
+from tracemill.llm.common import row_digest, save
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +32,12 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the smallest doc_id."""
-    found = near.join(docs.select("doc_id", "text"))
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each group of near copies stays: that of the smallest doc_id, nulls last."""
+    rows = docs.withColumn("_row", row_digest(docs))
+    found = save(near.linked(rows.select("doc_id", "text", "_row"), key="_row"), "pipeline-linked")
+    first = found.where("node != 0").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row"))["_row"].alias("_row"))
+    stay = first.select("_row").union(found.where("node = 0").select("_row"))
+    return rows.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

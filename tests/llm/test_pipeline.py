@@ -32,6 +32,16 @@ def test_pipeline(spark, tmp_path):
     assert len(rows) == 6 and all(r.piece == 0 for r in rows)
 
 
+def test_near_stage_by_row(spark):
+    own = [prose() for _ in range(6)]
+    copy = own[0].rsplit(" ", 1)[0] + " changed"
+    rows = [(1, own[0]), (None, own[1]), (None, own[2]), (None, copy), (5, own[3]), (5, copy), (5, own[4]), (7, own[5]), (7, own[5]), (None, own[5]), (8, ""), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in rows], KIND)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs, "").collect()]
+    want = [(1, own[0]), (None, own[1]), (None, own[2]), (5, own[3]), (5, own[4]), (7, own[5]), (8, ""), (9, "")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_empty(spark, tmp_path):
     write(spark, tmp_path, {})
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -124,15 +124,17 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _nodes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, node, size."""
+def _nodes(docs: DataFrame, n: int, key: str | None) -> DataFrame:
+    """doc_id, node, size, and key if there is one."""
+    keep = [key] if key else []
+    names = ["doc_id", "node", "size", *keep]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x, n) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64())], names=["doc_id", "node", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), *batch.columns[2:]], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id bigint, node bigint, size bigint")
+    return docs.select("doc_id", "text", *keep).mapInArrow(work, "doc_id bigint, node bigint, size bigint" + "".join(f", {k} binary" for k in keep))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -375,16 +377,19 @@ def components(edges: DataFrame) -> DataFrame:
         e = save(small.distinct(), "near-star")
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for each row of docs (doc_id, text)."""
-    nodes = save(_nodes(docs, words), "near-nodes")
+def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str | None = None) -> DataFrame:
+    """doc_id, node, size, root (the smallest node that links reach) and key for each row of docs (doc_id, text, key).
+
+    key: a binary column that names a row, by which texts are fetched in place of doc_id, which can be null or repeated."""
+    nodes = save(_nodes(docs, words, key), "near-nodes")
+    name = key or "doc_id"
     spark = docs.sparkSession
     path = fresh_path(spark, "near-postings")
     _postings(docs, words, percent).write.option("compression", "zstd").parquet(path)
     postings = spark.read.schema(POSTING).parquet(path)
     pairs = postings.where("w = 0")
     wanted = pairs.select("node").union(pairs.select("lead")).distinct()
-    rep = save(nodes.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size")), "near-reps")
+    rep = save(nodes.join(wanted, "node").groupBy("node").agg(F.min(name).alias("rep"), F.min("size").alias("size")), "near-reps")
     few = rep.count() * 64 <= BROADCAST_BYTES
     clusters = components(pairs.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
     every = clusters.union(clusters.select("root", "root").distinct())
@@ -395,7 +400,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     pivots = every.join(weight, "node").groupBy("root").agg(F.max(F.struct(F.col("w") / F.col("size"), "node"))["node"].alias("pivot"))
     every = every.join(pivots, "root").select(F.col("root").alias("cluster"), "node", "pivot", "rep")
     every = save(every, "near-clusters")
-    found = docs.select("doc_id", "text").join(F.broadcast(every) if few else every, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cluster", "node", "pivot", "text")
+    found = docs.select(name, "text").join(F.broadcast(every) if few else every, F.col(name).eqNullSafe(F.col("rep"))).select("cluster", "node", "pivot", "text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a repeated doc_id can have other texts; equal rows do no harm, but one of a task is enough."""
@@ -413,7 +418,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     members = save(_members(texts, centres, words, percent), "near-members")
     direct = members.where("near").join(every, ["cluster", "node"]).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     roots = components(save(direct.union(_links(members, percent)), "near-links"))
-    rows = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for each row of docs (doc_id, text)."""
+    rows = linked(docs, words, percent)
     lowest = rows.where("node != 0").groupBy("root").agg(F.min("doc_id").alias("lowest"))
     return rows.join(lowest, "root", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.coalesce("lowest", "doc_id")).alias("component_id")
