@@ -18,11 +18,12 @@ from tracemill.llm.common import row_digest, save
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    judged = quality.judge(docs.select("doc_id", "source", "text"))
-    # Equal rows are judged alike, so rejection by doc_id needs one row each.
-    gone = judged.groupBy("doc_id").agg(F.min("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """Rows that the quality rules reject go."""
+    rows = docs.withColumn("_row", row_digest(docs))
+    judged = quality.judge(rows.select("_row", "source", "text"))
+    # Equal rows are judged alike, so rejection needs one row each.
+    gone = judged.where("not kept").select("_row").distinct()
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

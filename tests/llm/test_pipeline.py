@@ -32,6 +32,19 @@ def test_pipeline(spark, tmp_path):
     assert len(rows) == 6 and all(r.piece == 0 for r in rows)
 
 
+def test_null_and_repeated_doc_ids(spark, tmp_path):
+    own = [prose() for _ in range(6)]
+    rows = [(None, own[0]), (None, ""), (None, None), (None, own[1]), (3, own[2]), (3, "too short"), (3, own[3]), (4, own[4]), (4, own[4]), (5, own[5])]
+    docs = spark.createDataFrame([(k, x, "en", f"s{j % 2}" if x and len(x) > 20 else f"bad{j}", len(x or "")) for j, (k, x) in enumerate(rows)], KIND)
+    good = [(k, x) for k, x in rows if x and len(x) > 20]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.quality_stage(spark, docs, "").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, good))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    encode = packing.encoder(packing.vocabulary_path(packing.VOCABULARY))
+    assert sorted(repr((r.doc_id, r.length)) for r in packed) == sorted(repr((k, len(encode(x)) // 4 + 1)) for k, x in set(good))
+
+
 def test_near_stage_by_row(spark):
     own = [prose() for _ in range(6)]
     copy = own[0].rsplit(" ", 1)[0] + " changed"
