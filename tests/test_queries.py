@@ -26,3 +26,10 @@ def test_query(spark, name):
         return sorted(repr([None if isinstance(x, float) and math.isnan(x) else x for x in r]) for r in rows)
 
     assert key(tuple(r) for r in got.select(*names).collect()) == key(want.fetchall())
+
+
+def test_flatten_pivot_takes_all(spark, tmp_path):
+    rows = [(k, u, t, float(k)) for k, (u, t) in enumerate((u, t) for u in (5, 100) for t in [*queries.LABELS, "view"])]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: [r[x] for x in queries.LABELS] for r in queries.QUERIES["flatten_pivot_all"](spark, str(tmp_path)).collect()}
+    assert got == {5: [5.0, 1.0, 2.0, 3.0, 4.0], 100: [11.0, 7.0, 8.0, 9.0, 10.0]}

@@ -253,6 +253,11 @@ def flatten_pivot(spark, d):
     return e.groupBy("user_id").pivot("event_type", ["view", "click"]).agg(F.max("value"))
 
 
+def flatten_pivot_all(spark, d):
+    """All users and all event types: a row per user."""
+    return _t(spark, d, "events").groupBy("user_id").pivot("event_type", LABELS).agg(F.max("value"))
+
+
 def unflatten_stack(spark, d):
     return _t(spark, d, "supplier").selectExpr("s_suppkey", "stack(2, 'name', s_name, 'nation', cast(s_nationkey AS string)) AS (attr, value)")
 
@@ -288,7 +293,7 @@ QUERIES = {
     "degrade_b3": degrade_b3, "degrade_b1": degrade_b1, "degrade_profile": degrade_profile, "signal_stats": signal_stats, "signal_slice": signal_slice,
     "signal_explode": signal_explode, "signal_of_read": signal_of_read, "first_records": first_records, "count_by_channel": count_by_channel, "aux_stats": aux_stats,
     "sample_hash": sample_hash, "subset_ids": subset_ids, "split_by_column": split_by_column, "corr_pair": corr_pair, "lossy_acceptance": lossy_acceptance,
-    "flatten_pivot": flatten_pivot, "unflatten_stack": unflatten_stack, "count_parity": count_parity, "positions_dense": positions_dense, "stream_count": stream_count,
+    "flatten_pivot": flatten_pivot, "flatten_pivot_all": flatten_pivot_all, "unflatten_stack": unflatten_stack, "count_parity": count_parity, "positions_dense": positions_dense, "stream_count": stream_count,
 }
 
 SQL = {
@@ -327,6 +332,7 @@ SQL = {
     "corr_pair": "select round(corr(l_quantity, l_extendedprice), 9) as r from lineitem",
     "lossy_acceptance": f"with s as (select unnest(sig) as x from {_SIG}), y as (select x, ((x+4)>>3)*8 as z from s) select count(*) as n, max(abs(x - z)) as worst, round(corr(x, z), 9) as r, round(corr(x, z), 9) >= 0.97 as accepted from y",
     "flatten_pivot": "select user_id, max(case when event_type = 'view' then value end) as view, max(case when event_type = 'click' then value end) as click from events where user_id < 20 group by user_id",
+    "flatten_pivot_all": "select user_id, " + ", ".join(f"max(case when event_type = '{x}' then value end) as {x}" for x in LABELS) + " from events group by user_id",
     "unflatten_stack": "select s_suppkey, unnest(['name', 'nation']) as attr, unnest([s_name, cast(s_nationkey as varchar)]) as value from supplier",
     "count_parity": "select count(*) as total, count(*) as parts, true as equal from orders",
     "positions_dense": "select conv_id, turn, row_number() over (order by conv_id, turn) - 1 as pos from conversations",
