@@ -230,6 +230,16 @@ def test_html_without_names(spark):
     assert all(got[k] == "words and more words. " * 9 + str(k) for k in got)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 30])
+def test_html_lists_of_links(spark, n):
+    # A page's own sources stay, however many pages its host has; a menu that is the same on all pages goes where a template shows it.
+    page = "<html><body><article><p>{own}</p><ul class=x><li><a href=/a>Front</a></li><li><a href=/b>Sport</a></li></ul><ol><li><a href=/{k}>Source {k} of the story</a></li><li><a href=/>Paper {k}</a></li></ol></article></body></html>"
+    rows = [(k, f"http://l/{k}", page.format(k=k, own=f"Story {k} has words of its own. " * 4)) for k in range(n)]
+    got = {r.page_id: r.text.split("\n\n") for r in html.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    menu = [] if n >= html.MIN_PAGES else ["Front", "Sport"]
+    assert got == {k: [(f"Story {k} has words of its own. " * 4).strip(), *menu, f"Source {k} of the story", f"Paper {k}"] for k in range(n)}
+
+
 def test_html_template_classes(spark):
     # No name tells the long legal text or the label from the article: only their classes do.
     page = "<html><body><div class=a><p>{own}</p><div class=b>Label of the house</div></div><div class=c><p>{legal}</p></div></body></html>"

@@ -8,10 +8,10 @@ fingerprint form an equivalence class. A class is valid if it occurs on MIN_SHAR
 MIN_PAGES at least, and has MIN_SIZE tokens; valid classes nest by their paths and make the host's template.
 A text in the class of a tag on its path is the template's; what lies between is in slots. The article's
 container is the tag of a valid class that holds most of the slots' prose: text of the template does not
-count. The tags' names tell what a slot is for (menus, notices, adverts and so on), its sums of text and
-link text tell lists of links from prose. The slots of the article are extracted from every page, whole and in
-page order, also where some of their text is common to pages; only a text that its own tag always holds (a
-label) is dropped, and only if such texts are less than half of the container's. Hosts whose slots are empty
+count. The tags' names tell what a slot is for (menus, notices, adverts and so on). The slots of the article
+are extracted from every page, whole and in page order, also where some of their text is common to pages;
+dropped are only texts of the template: links (a menu; a page's own lists of links stay), and a text that its
+own tag always holds (a label), if such texts are less than half of the container's. Hosts whose slots are empty
 (all pages alike) have no text of the template. Pages whose host has no template with an article (few pages, odd
 pages) are judged by the same rules on themselves alone.
 
@@ -177,10 +177,9 @@ def article(slots: dict[str, tuple[int, int]], paths: list[str]) -> str | None:
 
 
 class Template(NamedTuple):
-    """The container's path, the paths of its link lists, and the (path, text) that are the template's own."""
+    """The container's path, and the (path, text) in it that are the template's own."""
 
     root: str | None = None
-    lists: frozenset[str] = frozenset()
     fixed: frozenset[tuple[str, int]] = frozenset()
 
 
@@ -208,17 +207,13 @@ def _sums(found: list[tuple[str, str, int]]) -> dict[str, tuple[int, int]]:
 def extract(page: str | None, template: Template | None) -> str:
     """The article of a page."""
     paths, found = blocks(page or "")
-    root, lists, fixed = template or Template()
+    root, fixed = template or Template()
     if root is None or root not in paths:
-        sums = _sums(found)
-        root = article(sums, list(paths))
-        lists = fixed = frozenset()
+        root = article(_sums(found), list(paths))
+        fixed = frozenset()
         if root is None:
             return ""
-    # A list of links inside the article is a menu by its own measure or by the host's.
-    own = _sums(found)
-    listed = {p for p, (t, k) in own.items() if p in lists and k > MAX_LINK_SHARE * t}
-    kept = (b for b in found if _below(b[0], root) and b[0] not in listed and not _boiler(b[0], root))
+    kept = (b for b in found if _below(b[0], root) and not _boiler(b[0], root))
     return "\n\n".join(text for path, text, _ in kept if not fixed or (path, _text_of(text)) not in fixed)
 
 
@@ -280,7 +275,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def deduce(nodes: list[dict] | None) -> Template | None:
-    """The article's container, its link lists and the template's own texts in it, by a host's tokens with enough support.
+    """The article's container and the template's links and labels in it, by a host's tokens with enough support.
 
     A tag of a valid class nests in the nearest tag of a valid class above it; one that has none above it is left out."""
     if not nodes:
@@ -306,11 +301,12 @@ def deduce(nodes: list[dict] | None) -> Template | None:
     root = article(slots, nested)
     if root is None:
         return None
-    lists = frozenset(p for p, (t, k) in whole.items() if p.startswith(root + "/") and t and k > MAX_LINK_SHARE * t)
-    labels = [n for n in own if _below(n["path"], root) and n["path"] in tags and tags[n["path"]]["class"] == n["class"]]
+    own = [n for n in own if _below(n["path"], root)]
+    menus = [n for n in own if n["links"] > MAX_LINK_SHARE * n["chars"]]
+    labels = [n for n in own if n["path"] in tags and tags[n["path"]]["class"] == n["class"]]
     if 2 * sum(n["chars"] for n in labels) >= sum(t for p, (t, _) in whole.items() if _below(p, root)):
         labels = []
-    return Template(root, lists, frozenset((n["path"], n["text"]) for n in labels))
+    return Template(root, frozenset((n["path"], n["text"]) for n in menus + labels))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
