@@ -33,3 +33,14 @@ def test_flatten_pivot_takes_all(spark, tmp_path):
     spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.user_id: [r[x] for x in queries.LABELS] for r in queries.QUERIES["flatten_pivot_all"](spark, str(tmp_path)).collect()}
     assert got == {5: [5.0, 1.0, 2.0, 3.0, 4.0], 100: [11.0, 7.0, 8.0, 9.0, 10.0]}
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test data")
+@pytest.mark.parametrize("name, operator", [("stats_counts", "stats"), ("merge_rg_map", "merge"), ("flatten_pivot", "flatten"), ("flatten_pivot_all", "flatten"), ("unflatten_stack", "unflatten")])
+def test_query_calls_its_operator(spark, monkeypatch, name, operator):
+    from tracemill import operators
+
+    called, inner = [], getattr(operators, operator)
+    monkeypatch.setattr(queries, operator, lambda *a, **b: called.append(1) or inner(*a, **b), raising=False)
+    queries.QUERIES[name](spark, D)
+    assert called

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import enum_code, enum_label, quantise, window_of
 from .model import ReadSet
-from .operators import cat, degrade, demux, get, index, merge, missing, skim, split_files, split_groups, split_reads
+from .operators import cat, degrade, demux, flatten, get, index, merge, missing, skim, split_files, split_groups, split_reads, stats, unflatten
 from .operators.reads import PROFILES
 from .operators.sets import merged_header
 from .plans import positions
@@ -85,7 +85,12 @@ def index_duplicates(spark, d):
 
 
 def stats_counts(spark, d):
-    return signals(spark, d).df.agg(F.count("*").alias("n_records"), F.countDistinct("read_group").alias("n_groups"), F.sum("len_raw_signal").alias("n_samples"))
+    """Records and read groups by stats; samples are not among them. The header has a group per label there is."""
+    reads = signals(spark, d)
+    labels = sorted(r.read_group for r in reads.df.select("read_group").distinct().collect())  # a row per read group
+    said = dict(stats(reads.with_(header=[{"run_id": f"r{k}"} for k in labels])))
+    n = [F.lit(int(said[f"number of {x}"])).cast("long").alias(c) for x, c in (("records", "n_records"), ("read groups", "n_groups"))]
+    return reads.df.agg(F.sum("len_raw_signal").alias("n_samples")).select(*n, "n_samples")
 
 
 def _slice(reads: ReadSet, k: int, drop: str | None = None) -> ReadSet:
@@ -100,10 +105,16 @@ def merge_union(spark, d):
 
 
 def merge_rg_map(spark, d):
-    e = _t(spark, d, "events")
-    first = e.groupBy("event_type").agg(F.min("event_id").alias("p"))
-    groups = first.selectExpr("event_type", "cast(dense_rank() OVER (ORDER BY p) - 1 AS bigint) AS read_group")  # a row per run
-    return e.groupBy("event_type").agg(F.count("*").alias("n")).join(groups, "event_type").select("event_type", "read_group", "n")
+    """Two files, each with a run per event type in order of first sight: merge maps the groups of both to its own."""
+    reads = records(spark, d)
+    middle = reads.df.agg(F.avg("rec_ord")).first()[0] or 0
+    parts = []
+    for own in (F.col("rec_ord") <= middle, F.col("rec_ord") > middle):
+        part = reads.df.where(own)
+        runs = [r.event_type for r in part.groupBy("event_type").agg(F.min("rec_ord").alias("p")).orderBy("p").collect()]  # a row per run
+        parts.append(reads.with_(df=part.withColumn("read_group", enum_code(F.col("event_type"), runs).cast("long")), header=[{"run_id": x} for x in runs]))
+    got = merge([p for p in parts if p.header] or [reads])
+    return got.df.groupBy("event_type", "read_group").agg(F.count("*").alias("n"))
 
 
 def merge_header(spark, d):
@@ -248,18 +259,34 @@ def lossy_acceptance(spark, d):
     return got.withColumn("accepted", F.col("r") >= 0.97)
 
 
+def _flat(events: DataFrame, kinds: list[str]) -> DataFrame:
+    """user_id and a column per event type, by flatten: a user is a read, the largest value of an event type an attribute."""
+    read = F.col("user_id").cast("string").alias("read")
+    own = events.where(F.col("event_type").isin(kinds)).groupBy("user_id", F.col("event_type").alias("attr")).agg(F.max("value").cast("string").alias("value"))
+    users = events.select("user_id").distinct()
+    fields = F.explode(F.create_map(F.lit("read_id"), F.col("user_id").cast("string"), *[F.lit(x) for c in ("digitisation", "offset", "range", "sampling_rate") for x in (c, "1.0")])).alias("attr", "value")
+    place = (F.lit("events").alias("file"), read, F.lit("Raw").alias("grp"))
+    attrs = users.select(*place, "user_id", fields).drop("user_id").unionByName(own.where("value IS NOT NULL").select(*place, "attr", "value")).withColumn("h5type", F.lit("string"))
+    signal = users.select(place[0], read, F.array().cast("array<smallint>").alias("raw_signal"))
+    got, _ = flatten(attrs, signal, dump_all=True)
+    return got.select(F.col("read_id").cast(events.schema["user_id"].dataType).alias("user_id"), *[(F.col(k) if k in got.columns else F.lit(None)).cast("double").alias(k) for k in kinds])
+
+
 def flatten_pivot(spark, d):
-    e = _t(spark, d, "events").where("user_id < 20")
-    return e.groupBy("user_id").pivot("event_type", ["view", "click"]).agg(F.max("value"))
+    return _flat(_t(spark, d, "events").where("user_id < 20"), ["view", "click"])
 
 
 def flatten_pivot_all(spark, d):
     """All users and all event types: a row per user."""
-    return _t(spark, d, "events").groupBy("user_id").pivot("event_type", LABELS).agg(F.max("value"))
+    return _flat(_t(spark, d, "events"), LABELS)
 
 
 def unflatten_stack(spark, d):
-    return _t(spark, d, "supplier").selectExpr("s_suppkey", "stack(2, 'name', s_name, 'nation', cast(s_nationkey AS string)) AS (attr, value)")
+    """A supplier is a read in a file of its own; its name and nation are the header's attributes."""
+    s = _t(spark, d, "supplier").withColumn("file", F.col("s_suppkey").cast("string"))
+    header = s.select("file", F.explode(F.create_map(F.lit("name"), F.col("s_name"), F.lit("nation"), F.col("s_nationkey").cast("string"))).alias("attr", "value"))
+    got = unflatten(s.select("file", F.col("file").alias("read_id")), header).where("grp = 'tracking_id'")
+    return got.select(F.col("read").cast(s.schema["s_suppkey"].dataType).alias("s_suppkey"), "attr", "value")
 
 
 def count_parity(spark, d):
