@@ -8,7 +8,8 @@ it changed; the newest entry of a digest is the registry.
 
 A digest found more than once is a hit. Every hit is checked: the content at the registry's locator is
 fetched by a join and compared byte for byte. Rows that have the digest but not the bytes are grouped
-anew by their full text, so that even a weak digest gives right results.
+anew by their full text, so that even a weak digest gives right results. Only the texts of hits are
+shuffled: the digests of hits are broadcast to the scan if their measured number is small, else joined.
 
 Defined results: null text counts as empty; of equal texts the row with the largest doc_id stays, of
 repeated rows the last one by file and row; null doc_ids stay only where nothing else has the text; an
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, save
 
-#: Files that one micro-batch takes.
-FILES_PER_BATCH = 8
+#: Files that one micro-batch takes; bytes of the digests of hits up to which they are broadcast.
+FILES_PER_BATCH, BROADCAST_BYTES = 8, 16 << 20
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -49,8 +50,8 @@ def _folder_or_glob(spark: SparkSession, path: str) -> str:
     """A stream reads folders; a single file is given as a glob that fits it alone."""
     path = path.rstrip("/")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    is_file = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
-    return f"{path[:-1]}[{path[-1]}]" if is_file else path
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return f"{path[:-1]}[{path[-1]}]" if fs.exists(at) and fs.getFileStatus(at).isFile() else path
 
 
 def register(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, files_per_batch: int = FILES_PER_BATCH, state: str | None = None) -> DataFrame:
@@ -86,16 +87,22 @@ def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = s
     if source.isEmpty():
         return spark.createDataFrame([], "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string")
     registry = register(spark, path, digest, files_per_batch)
+    rows = _rows(source, digest)
     here = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
-    joined = _rows(source, digest).withColumn("sha", F.unhex(F.sha2("text", 256))).join(registry, "digest")
-    # Only hits carry their text on.
-    found = save(joined.select("digest", "doc_id", "keep.doc_id", here.alias("kept"), "n", "sha", F.when(F.col("n") > 1, F.col("text")).alias("text")).toDF("digest", "doc_id", "keep_id", "kept", "n", "sha", "text"), "exact-found")
-    content = found.where("n > 1 and kept").select("digest", F.col("text").alias("content"))
-    hits = found.where("n > 1").join(content, "digest", "left")
+    registry = save(registry, "exact-registry")
+    hits = registry.where("n > 1")
+    few = hits.count() * 256 <= BROADCAST_BYTES
+    sha = F.unhex(F.sha2("text", 256)).alias("sha")
+    found = rows.select("doc_id", "digest", sha, "file", "row").join(registry, "digest")
+    alone = found.where("n = 1").select("doc_id", F.col("keep.doc_id").alias("keep_id"), "n", here.alias("kept"), "sha")
+    hit = rows.join(F.broadcast(hits) if few else hits, "digest").select("digest", "doc_id", F.col("keep.doc_id").alias("keep_id"), here.alias("kept"), "n", sha, "text")
+    hit = save(hit, "exact-hits")
+    content = hit.where("kept").select("digest", F.col("text").alias("content"))
+    hit = hit.join(content, "digest", "left")
     same = F.col("text") == F.col("content")
-    checked = save(hits.select("digest", "doc_id", "keep_id", "kept", "n", "sha", same.alias("same"), F.when(~same, F.col("text")).alias("text")), "exact-checked")
+    checked = save(hit.select("digest", "doc_id", "keep_id", "kept", "n", "sha", same.alias("same"), F.when(~same, F.col("text")).alias("text")), "exact-checked")
     out = ("doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
-    alone, other = found.where("n = 1").select(*out), checked.where("not same")
+    alone, other = alone.select(*out), checked.where("not same")
     if other.isEmpty():
         return alone.unionByName(checked.select(*out))
     # Digests that several texts share: the others' groups, and what is left of the first one's.
