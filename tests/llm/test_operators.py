@@ -119,11 +119,29 @@ def test_near(spark, docs, empty):
             words[rng.randrange(120)] = f"edit{rng.randrange(40)}"
         texts.append(" ".join(words))
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
-    old, near.BLOCK, near.GROUP = (near.BLOCK, near.GROUP), 16, 5
-    try:
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near.join(table, 4, 85).collect()} == brute_near(texts, 4, 85)
-    finally:
-        near.BLOCK, near.GROUP = old
+    for sizes in ({}, {"block": 16, "group": 5}, {"block": 3, "group": 2, "tokens": 900}):  # small blocks: links lie between them
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near.join(table, 4, 85, **sizes).collect()} == brute_near(texts, 4, 85), sizes
+
+
+def test_token_group_matrix():
+    sets = [np.unique(np.array(rng.choices(range(60), k=rng.randrange(1, 40)), np.uint64)) for _ in range(200)]
+    sets += [np.delete(x, 0) if len(x) > 1 else x for x in sets[:50]]
+    sizes = np.array(list(map(len, sets)))
+    for percent, group in ((80, 7), (50, 64), (100, 1)):
+        matrix = near.Matrix(sizes, sets, group, percent)
+        for x in sets[::9]:
+            both = [len(np.intersect1d(x, y)) for y in sets]
+            want = [k for k, n in enumerate(both) if n and 100 * n >= percent * (len(x) + len(sets[k]) - n)]
+            assert matrix.links(len(x), x).tolist() == want
+
+
+def test_near_fails_rather_than_losing_tokens(spark, docs):
+    """A block of documents that came back in part is an error."""
+    parts = near._dealt(docs, 4, None, 8, 1000)
+    met = near._met(parts.where("kind = 0 or bucket % 3 > 0")).drop("bucket").cache()
+    with pytest.raises(Exception, match="not whole"):
+        near._possible(met.where("kind = 1"), met.where("kind = 0"), 85, 2).collect()
+    met.unpersist()
 
 
 def test_packing(docs, empty):
