@@ -90,9 +90,46 @@ def test_lines(docs, empty):
         kept = [v for v in (x or "").split("\n") if k == last or v.strip().lower() != LONG.lower()]
         r = next(r for (d, _), r in rows.items() if d == k)
         assert r.text == "\n".join(kept) and r.n_lines == (x or "").count("\n") + 1 and r.n_dropped == r.n_lines - len(kept)
+        assert r.source == (None if k % 5 == 0 else f"s{k % 3}") and (r.n_words, r.length, r._text) == ("clash", "clash", "clash")
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_against_brute_force(spark):
+    pool = [f"{k} a line that many documents may share, number {k}" for k in range(30)]
+    texts = ["\n".join(rng.choice([f" {rng.choice(pool).upper()}\t", rng.choice(pool), "short", "", f"É only in {k} - {rng.random()} {'x' * 30}"]) for _ in range(rng.randrange(12))) for k in range(60)]
+    names = "doc_id bigint, text string, name string, gone string, row string, doc string, at string, key string, line string, `a.b` string"
+    table = spark.createDataFrame([(k, x, *[f"{c}{k}" for c in "abcdefgh"]) for k, x in enumerate(texts)], names).repartition(3)
+    holders = {}
+    for k, x in enumerate(texts):
+        for line in x.split("\n"):
+            key = line.strip(" \t").replace("É", "\0").lower()
+            if len(key) >= 40:
+                holders.setdefault(key, set()).add(k)
+    for batches, fanout, broadcast in ((1, 2, 1), (7, 2, 1 << 20), (6, 3, 0)):
+        old, lines.BROADCAST_BYTES = lines.BROADCAST_BYTES, broadcast
+        got = lines.dedup_lines(table, batches=batches, fanout=fanout).collect()
+        lines.BROADCAST_BYTES = old
+        assert len(got) == len(texts)
+        for r in got:
+            own = texts[r.doc_id].split("\n")
+            gone = [len(h := holders.get(x.strip(" \t").replace("É", "\0").lower(), ())) >= 5 and max(h) != r.doc_id for x in own]
+            assert r.text == "\n".join(x for x, g in zip(own, gone) if not g) and (r.n_lines, r.n_dropped) == (len(own), sum(gone))
+            assert [*r][2:10] == [f"{c}{r.doc_id}" for c in "abcdefgh"]
+
+
+def test_line_runs_hold_each_key_once(spark):
+    """The anti-join with older runs decides where a key goes: into the batch's run, or to the repeats."""
+    runs = lines.LineRuns(spark, fanout=2)
+    for k in range(5):
+        runs.add(spark.createDataFrame([(bytes([x]), 10 * k + j) for j, x in enumerate((1, 1, 10 + k, 20 + k // 2))], "key binary, doc_id bigint"))
+    found = [r.key for run in runs.runs() for r in run.select("key").collect()]
+    assert sorted(found) == sorted({bytes([x]) for k in range(5) for x in (1, 10 + k, 20 + k // 2)})
+    assert len(runs.levels) == 3 and [len(x) for x in runs.levels] == [1, 0, 1]
+    assert {(r.key, r.last_doc) for r in runs.frequent(2).collect()} == {(b"\x01", 41), (bytes([20]), 13), (bytes([21]), 33)}
+    assert [r.key for r in runs.frequent(10).collect()] == [b"\x01"]
+    runs.drop()
+
+
 def brute_near(texts, n, percent):
     sets = []
     for x in texts:

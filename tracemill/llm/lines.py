@@ -1,130 +1,154 @@
 """Line dedup over levelled sorted runs of line hashes, with DataFrame operations only.
 
 A line's key is the line without ASCII white space at its ends and with A-Z lower-cased; keys shorter
-than min_chars code points are never touched. Documents arrive in batches. Each batch counts its keys,
-merge-joins them with the keys of all runs, and adds its own run, sorted by key within each file: keys
-that no run holds (the anti-join) carry their first count there, keys that a run holds already add a
-further count. Once a level holds `fanout` runs they are compacted into one run of the next level. At
-the end the counts of a key are summed; keys in at least min_docs documents lose all their lines except
-those in the largest doc_id that holds them.
-
-Keys are compared by their MD5 (128 bits). A frequent line never meets its documents in one task for
-longer than a sum: counts are pre-aggregated before each shuffle, and the join that hands decisions back
-is one that Spark can split by skew.
+than min_chars code points are never touched. Documents arrive in batches. A batch counts its keys and is
+anti-joined with the runs, one after the other: keys that no run holds are the batch's own run; the others
+go to the repeats, with their further counts. So a key is in one run, once, with its first count. Runs are
+bucketed and sorted by key, so a batch is dealt and sorted once, and runs are merged with it as they lie. Once
+a level holds `fanout` runs they are compacted into one run of the next level. At the end the repeats are
+summed and merge-joined with the runs; keys that nothing repeats are judged by their first count alone. Keys
+in at least min_docs documents lose all their lines except those in the largest doc_id that holds them.
+
+Keys are compared by their MD5 (128 bits); each line is hashed once, and decisions go back as line numbers. A
+frequent line never meets its documents in one task for longer than a sum: counts are pre-aggregated before each
+shuffle, and the join that hands decisions back is one that Spark can split by skew. Documents that lose nothing
+are not shuffled if the decisions' measured size lets them be broadcast; beyond that all are.
 
 Defined results: null or empty text is one empty line; repeated rows are one document (their doc_id
 counts once) and lose the same lines; null doc_ids count as no document and never keep a frequent line
-that another document holds; an empty table gives an empty result. All columns of the input are kept;
-columns named n_lines and n_dropped are replaced.
+that another document holds; an empty table gives an empty result. All columns of the input are kept, whatever
+their names; columns named n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, fresh_path, save, table
+from .common import ASCII_SPACE, ascii_lower, fresh_path, remove, save, table
 
 #: Production parameters.
-MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 3
+MIN_CHARS, MIN_DOCS, BATCHES, FANOUT, BROADCAST_BYTES = 40, 5, 4, 3, 32 << 20
+#: Sorted files are read as sorted, where a bucket is one file.
+SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(ASCII_SPACE)))
+    line = F.btrim(line, F.lit(ASCII_SPACE))
+    # lower is fast, and right where all is ASCII.
+    return F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(ascii_lower(line))
 
 
 def lines_of(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
-
-
-def key_hash(line: Column, min_chars: int) -> Column:
-    """The MD5 of a line's key as 16 bytes, null where the key is too short to count."""
-    key = line_key(line)
-    return F.when(F.char_length(key) >= min_chars, F.unhex(F.md5(key)))
+    return F.split(text, "\n", -1)
 
 
 class LineRuns:
-    """Levels of runs. A run has key, n_docs, last_doc and seen (whether an older run held the key)."""
+    """Levels of runs, each a table (key, n_docs, last_doc) that is bucketed and sorted by key, and the repeats of their keys."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.spark, self.fanout, self.levels, self.tables = spark, fanout, [[]], []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.repeats: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [self.spark.table(run) for level in self.levels for run in level]
+
+    def _stored(self, rows: DataFrame) -> str:
+        name = f"lines_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", fresh_path(self.spark, "lines-run")).saveAsTable(name)
+        self.tables.append(name)
+        return name
 
     def add(self, keys: DataFrame) -> None:
         """keys: (key, doc_id) of a batch; no document may be in two batches."""
-        batch = keys.distinct().groupBy("key").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        older = [run.where("not seen").select("key") for run in self.runs()]
-        if older:
-            held = older[0]
-            for run in older[1:]:
-                held = held.union(run)  # each key is new in one run only
-            held = held.select("key", F.lit(True).alias("held"))
-            batch = batch.hint("merge").join(held, "key", "left").select("key", "n_docs", "last_doc", F.coalesce("held", F.lit(False)).alias("seen"))
+        counted = keys.distinct().groupBy("key").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        batch = self.spark.table(self._stored(counted.repartition(self.buckets, "key")))
+        own = batch
+        for run in self.runs():
+            own = own.hint("merge").join(run.select("key"), "key", "left_anti")
+        if own is not batch:
+            own = self.spark.table(self._stored(own))
+            self.repeats.append(batch.hint("merge").join(own.select("key"), "key", "left_anti"))
+            self._put(0, self.tables[-1])
         else:
-            batch = batch.withColumn("seen", F.lit(False))
-        self._put(0, batch)
+            self._put(0, self.tables[-1])
 
-    def _put(self, level: int, rows: DataFrame) -> None:
+    def _put(self, level: int, run: str) -> None:
         if len(self.levels) == level:
             self.levels.append([])
-        self.levels[level].append(save(rows.sortWithinPartitions("key"), f"lines-run-{level}"))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self.levels[level][0]
-            for run in self.levels[level][1:]:
-                merged = merged.union(run)
+            merged = None
+            for name in self.levels[level]:  # no key is in two runs
+                rows = self.spark.table(name)
+                merged = rows if merged is None else merged.unionAll(rows)
             self.levels[level] = []
-            self._put(level + 1, self._summed(merged))
-
-    @staticmethod
-    def _summed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.min("seen").alias("seen"))
-
-    def totals(self) -> DataFrame:
-        """key, n_docs, last_doc over all batches."""
-        runs = self.runs()
-        rows = runs[0]
-        for run in runs[1:]:
-            rows = rows.union(run)
-        return self._summed(rows).drop("seen")
+            self._put(level + 1, self._stored(merged.repartition(self.buckets, "key")))
+
+    def frequent(self, min_docs: int) -> DataFrame:
+        """key, last_doc of the keys in at least min_docs documents."""
+        more = None
+        for rows in self.repeats:
+            more = rows if more is None else more.unionAll(rows)
+        if more is not None:
+            more = save(more.groupBy("key").agg(F.sum("n_docs").alias("more"), F.max("last_doc").alias("later")), "lines-repeats")
+        out = None
+        for run in self.runs():
+            if more is not None:
+                run = run.hint("merge").join(more, "key", "left")
+                run = run.select("key", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc"))
+            part = run.where(F.col("n_docs") >= min_docs).select("key", "last_doc")
+            out = part if out is None else out.unionAll(part)
+        return out
+
+    def drop(self) -> None:
+        """Forget all runs; what was taken from them must be written."""
+        for name in self.tables:
+            path = self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first().data_type
+            self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, path)
+        self.levels, self.tables, self.repeats = [[]], [], []
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with text cut down, n_lines (before) and n_dropped."""
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped").withColumn("text", F.coalesce("text", F.lit("")))
-    identity = (F.col("doc_id"), F.xxhash64("text").alias("_text"))
-    hashes = F.filter(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: key_hash(x, min_chars))), lambda x: x.isNotNull())
+    docs = docs.drop("n_lines", "n_dropped")
+    # The input's columns travel in one, so that no name of theirs can clash.
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    name = F.xxhash64("text").alias("name")
     path = fresh_path(spark, "lines-keys")
-    (
-        docs.select(*identity, hashes.alias("keys"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
-        .select("doc_id", "_text", "batch", F.explode("keys").alias("key"))
-        .write.partitionBy("batch")
-        .option("compression", "zstd")
-        .parquet(path)
-    )
-    keys = spark.read.schema("doc_id bigint, _text bigint, key binary, batch int").parquet(path)
-    runs = LineRuns(spark, fanout)
-    for batch in range(batches):
-        runs.add(keys.where(F.col("batch") == batch).select("key", "doc_id"))
-    frequent = save(runs.totals().where(F.col("n_docs") >= min_docs).select("key", "last_doc"), "lines-frequent")
-    drops = (
-        keys.join(frequent, "key")
-        .where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-        .groupBy("doc_id", "_text")
-        .agg(F.collect_set("key").alias("_drop"))
-        .select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_text2"), "_drop")
-    )
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    rows = rows.join(drops, rows["doc_id"].eqNullSafe(drops["_doc"]) & (rows["_text"] == drops["_text2"]), "left")
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
+    found = rows.select("doc_id", name, batch, F.posexplode(lines_of(F.col("text"))).alias("at", "line")).where(F.char_length("line") >= min_chars)
+    # As a generated column the key is computed once, whatever reads it.
+    found = found.select("doc_id", "name", "batch", "at", F.explode(F.array(line_key(F.col("line")))).alias("key")).where(F.char_length("key") >= min_chars)
+    found.select("doc_id", "name", "at", F.unhex(F.md5("key")).alias("key"), "batch").write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    keys = spark.read.schema("doc_id bigint, name bigint, at int, key binary, batch int").parquet(path)
+    runs, before = LineRuns(spark, fanout), spark.conf.get(SORTED)
+    spark.conf.set(SORTED, "true")
+    try:
+        for k in range(batches):
+            runs.add(keys.where(F.col("batch") == k).select("key", "doc_id"))
+        frequent = save(runs.frequent(min_docs), "lines-frequent")
+    finally:
+        spark.conf.set(SORTED, before)
+        runs.drop()
+    drops = keys.join(frequent, "key").where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy("doc_id", "name").agg(F.collect_set("at").alias("gone"))
+    drops = save(drops.select(F.col("doc_id").alias("doc"), "name", "gone"), "lines-drops")
+    remove(spark, path)
+    few = (drops.agg(F.sum(F.size("gone") * 8 + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    rows = rows.withColumn("name", F.xxhash64("text"))
+    rows = rows.join(F.broadcast(drops) if few else drops, rows["doc_id"].eqNullSafe(drops["doc"]) & (rows["name"] == drops["name"]), "left")
     lines = lines_of(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_drop", key_hash(x, min_chars)), F.lit(False)))
-    rows = rows.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return rows.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        *[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
         F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
     )
 
 
