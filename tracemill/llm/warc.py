@@ -3,13 +3,15 @@
 Records are grouped into independent Zstandard frames of about frame_bytes; a bundle ends with a footer
 in the seekable format (a skippable frame with a table of frame sizes), so a reader seeks to one frame
 and decompresses nothing else. An index maps each record identifier to its bundle, frame and offset
-within the frame. Bundles are written by the tasks into the shared folder through pyarrow.fs, which takes
-local paths and object stores alike; only bundles named by the index count, so a task that is run again
-leaves at most an orphan behind.
+within the frame. Records are read back along the index alone: each frame is sought and decompressed once, each
+record cut out at its offset and checked against its identifier. Bundles are written by the tasks into the shared
+folder through pyarrow.fs, whose schemes are local paths, s3 (also as s3a), gs, abfs and, with libhdfs, hdfs; only
+bundles named by the index count, so a task that is run again leaves at most an orphan behind.
 
 Of records with equal payloads of at least min_bytes the one with the largest page_id is a response, the
 others are revisits that refer to it and carry no payload. Groups are found by SHA-256 with partial
-aggregation; the join back is one that Spark can split by skew.
+aggregation. The groups of several records go to the pages by broadcast if their measured number is small, so that
+pages are not shuffled; beyond that by a join that Spark can split by skew.
 
 Defined results: null html is an empty payload; null page_ids are the smallest, and a group of such rows
 alone is all responses, as are repeated rows of the response's page_id; line ends in urls are escaped as
@@ -34,6 +36,8 @@ from .common import fresh_path, save, table
 
 #: Production parameters.
 MIN_BYTES, FRAME_BYTES, BUNDLE_BYTES, LEVEL = 0, 1 << 18, 1 << 26, 3
+#: Bytes of groups up to which they are broadcast; bytes of records that a reading task takes.
+BROADCAST_BYTES, TASK_BYTES = 16 << 20, 16 << 20
 #: Fixed by the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -98,11 +102,16 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
     }, start + size + 4
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark names it, and the path there."""
+    return fs.FileSystem.from_uri(f"s3://{uri[6:]}" if uri.startswith(("s3a://", "s3n://")) else uri)
+
+
 class BundleWriter:
     """Writes records into frames and frames into bundles; index rows come with the end of a bundle."""
 
     def __init__(self, folder: str, frame_bytes: int, bundle_bytes: int):
-        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.store, self.root = _store(folder)
         self.store.create_dir(self.root, recursive=True)
         self.folder, self.frame_bytes, self.bundle_bytes = folder, frame_bytes, bundle_bytes
         self.codec = zstandard.ZstdCompressor(level=LEVEL)
@@ -177,7 +186,9 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTE
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("sha"))
     groups = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("sha", "keep")
-    rows = rows.join(groups, "sha", "left").select("page_id", "url", "html", "keep")
+    groups = save(groups, "warc-groups")
+    few = groups.count() * 128 <= BROADCAST_BYTES
+    rows = rows.join(F.broadcast(groups) if few else groups, "sha", "left").select("page_id", "url", "html", "keep")
     kinds = pa.schema([("page_id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("frame_start", pa.int64()), ("frame_size", pa.int64()), ("offset", pa.int32()), ("length", pa.int32())])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,49 +207,52 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTE
     return save(rows.mapInArrow(put, INDEX), "warc-index")
 
 
-def read(index: DataFrame, payload: bool = True) -> DataFrame:
-    """All records of the indexed bundles, frame by frame along their seek tables."""
+def _records(index: DataFrame, payload: bool) -> DataFrame:
+    """The records of index rows, which lie frame by frame within each task."""
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            codec = zstandard.ZstdDecompressor()
+            codec, bundle, frame, file, data = zstandard.ZstdDecompressor(), None, None, None, b""
             for batch in batches:
-                for bundle in batch.column(0).to_pylist():
-                    store, path = fs.FileSystem.from_uri(bundle)
-                    with store.open_input_file(path) as file:
-                        for start, packed, _ in seek_table(file):
-                            file.seek(start)
-                            data, at = codec.decompress(file.read(packed)), 0
-                            while at < len(data):
-                                got, at = parse(data, at)
-                                if not payload:
-                                    got["payload"] = None
-                                yield tuple(got.values())
+                for x in batch.to_pylist():
+                    if x["bundle"] != bundle:
+                        if file:
+                            file.close()
+                        bundle, frame = x["bundle"], None
+                        store, path = _store(bundle)
+                        file = store.open_input_file(path)
+                        table = seek_table(file)
+                    if x["frame"] != frame:
+                        frame = x["frame"]
+                        start, packed, size = table[frame]
+                        if (start, packed) != (x["frame_start"], x["frame_size"]):
+                            raise ValueError(f"index and seek table of {bundle} differ")
+                        file.seek(start)
+                        data = codec.decompress(file.read(packed), max_output_size=size)
+                    got, end = parse(data, x["offset"])
+                    if end != x["offset"] + x["length"] or got["page_id"] != x["page_id"]:
+                        raise ValueError(f"no record of page {x['page_id']} at its offset")
+                    if not payload:
+                        got["payload"] = None
+                    yield tuple(got.values())
+            if file:
+                file.close()
 
         yield from _batches(rows(), kinds, 1_000)
 
-    bundles = index.select("bundle").distinct()
-    return bundles.repartition(max(1, index.sparkSession.sparkContext.defaultParallelism), "bundle").mapInArrow(get, RECORD)
+    return index.mapInArrow(get, RECORD)
 
 
-def fetch(index: DataFrame, ids: DataFrame) -> DataFrame:
-    """The records of the given page_ids, each read from its frame alone."""
-    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-
-    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            codec = zstandard.ZstdDecompressor()
-            for batch in batches:
-                for x in batch.to_pylist():
-                    store, path = fs.FileSystem.from_uri(x["bundle"])
-                    with store.open_input_file(path) as file:
-                        file.seek(x["frame_start"])
-                        yield tuple(parse(codec.decompress(file.read(x["frame_size"])), x["offset"])[0].values())
+def read(index: DataFrame, payload: bool = True) -> DataFrame:
+    """All records of the index, each frame decompressed once."""
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES)
+    return _records(index.repartition(max(1, tasks), "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset"), payload)
 
-        yield from _batches(rows(), kinds, 1_000)
 
-    return index.join(ids.select("page_id"), "page_id").mapInArrow(get, RECORD)
+def fetch(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records of the given page_ids, each read from its frame alone."""
+    return _records(index.join(ids.select("page_id"), "page_id").sortWithinPartitions("bundle", "frame", "offset"), True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
