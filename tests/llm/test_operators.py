@@ -246,6 +246,34 @@ def test_bpe(docs, empty):
     assert bpe.encode(empty).count() == 0 and bpe.encode(docs).count() == docs.count()
 
 
+def test_bpe_decodes_through_the_table(monkeypatch):
+    import pyarrow as pa
+
+    tokenizer = bpe._tokenizer(bpe.vocabulary_path(bpe.VOCABULARY))
+    rows = bpe.piece_table(bpe.vocabulary_path(bpe.VOCABULARY))
+    ids = [np.array(tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4") for x in TEXTS]
+    want = [tokenizer.decode(x.tolist(), skip_special_tokens=False) for x in ids]
+    assert bpe.decode(ids, pa.array(rows, pa.binary())) == want
+    monkeypatch.setattr(bpe, "IDS_AT_ONCE", 7)
+    assert bpe.decode(ids, pa.array(rows, pa.binary())) == want
+    damaged = list(rows)
+    damaged[int(ids[4][0])] = b"?"
+    assert bpe.decode([ids[4]], pa.array(damaged, pa.binary())) != [want[4]]
+    with pytest.raises(IndexError):
+        bpe.decode([np.array([len(rows)], "<u4")], pa.array(rows, pa.binary()))
+
+
+def test_bpe_splits_where_the_tokenizer_does():
+    """Encoding word by word gives the ids of the whole text, whatever the text."""
+    tokenizer = bpe._tokenizer(bpe.vocabulary_path(bpe.VOCABULARY))
+    chars = "aZéß.,!'s \u00a0\u2003\u3000\x1c\x85\u200b\u0301\x00\r\n\t  \n9½中|<>"
+    for _ in range(3000):
+        text = "".join(rng.choices(chars, k=rng.randrange(30)))
+        words = bpe.split_words(text)
+        assert "".join(words) == text
+        assert [i for e in tokenizer.encode_batch(words, add_special_tokens=False) for i in e.ids] == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_warc(spark):
     rows = [(1, "http://a/\r\nx", "same"), (2, "b", "same"), (3, None, None), (4, "d", ""), (5, "e", "é" * 50_000), (5, "e", "é" * 50_000), (None, "n", "same"), (7, "g", "alone")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("sha", F.lit("clash"))
@@ -261,6 +289,16 @@ def test_warc(spark):
     one = warc.fetch(at, spark.createDataFrame([(7,)], "page_id bigint")).collect()
     assert [bytes(r.payload) for r in one] == [b"alone"]
     assert warc.read(warc.write(pages.limit(0))).count() == 0
+    # Records are found by the index alone: a row less is a record less, a wrong one an error.
+    assert warc.read(at.where("page_id is null or page_id != 7")).count() == len(rows) - 1
+    for wrong in ("offset + 1 as offset", "frame_start + 1 as frame_start", "length - 1 as length", "page_id + 1 as page_id"):
+        with pytest.raises(Exception):
+            warc.read(at.where("page_id = 7").selectExpr(*[wrong if wrong.endswith(f" as {c}") else c for c in at.columns])).collect()
+    kept = warc.read(warc.write(pages, min_bytes=5)).where("record_type = 'revisit'").collect()  # "same" is smaller, 5's copies are responses
+    assert kept == [] and warc.read(warc.write(pages, min_bytes=4)).where("record_type = 'revisit'").count() == 2
+    old, warc.BROADCAST_BYTES = warc.BROADCAST_BYTES, 0
+    assert sorted(warc.read(warc.write(pages)).collect(), key=repr) == sorted(got, key=repr)
+    warc.BROADCAST_BYTES = old
 
 
 PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li><a href=/>Home {k}</a></li></ul></nav>

@@ -5,7 +5,8 @@ character to the white space after it). A block of documents keeps the list of i
 each document the positions of its words in that list. A list is dealt to buckets by word, one packed row
 per block and bucket, so the words of all blocks meet by bucket: each distinct word is encoded once, and
 its ids go back, packed in the same order, to the blocks' lists, where they are joined by position.
-Decoding maps each id to its piece through the id-to-piece table, which the vocabulary file bounds.
+Decoding joins the ids of a batch of documents with the id-to-piece table (id, bytes), which the vocabulary file
+bounds, in Arrow: ids are dense, so the join takes rows by number; an id that the table lacks is an error.
 
 A block is named by a digest of its list, so that lists and positions, which are computed apart, can only
 meet if they agree; a block without its list is an error, never a wrong result. Blocks are bounded in
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -234,20 +236,45 @@ def encode(docs: DataFrame, path: str | None = None, block_words: int = BLOCK_WO
     return rows.repartition("block").sortWithinPartitions("block", "part").mapInArrow(joined, schema)
 
 
-def decode(ids: np.ndarray, pieces: list[bytes]) -> str:
-    return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+#: Ids that are joined with a table at once.
+IDS_AT_ONCE = 1_000_000
+
+
+def _joined(ids: list[np.ndarray], table: pa.Array, between) -> list:
+    """For each array of ids the table's rows of these ids, joined to one value."""
+    out, at = [], 0
+    while at < len(ids):
+        end, n = at + 1, len(ids[at])
+        if n > IDS_AT_ONCE:
+            out.append(between.join(_joined([ids[at][k : k + IDS_AT_ONCE] for k in range(0, n, IDS_AT_ONCE)], table, between)))
+        else:
+            while end < len(ids) and n + len(ids[end]) <= IDS_AT_ONCE:
+                n += len(ids[end])
+                end += 1
+            ends = np.concatenate(([0], np.cumsum(list(map(len, ids[at:end]))))).astype(np.int32)
+            out += pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), table.take(pa.array(np.concatenate(ids[at:end])))), between).to_pylist()
+        at = end
+    return out
+
+
+def decode(ids: list[np.ndarray], pieces: pa.Array) -> list[str]:
+    """The texts of arrays of ids, by a join with the id-to-piece table; bytes that are no UTF-8 become U+FFFD."""
+    return [x.decode("utf-8", "replace") for x in _joined(ids, pieces, b"")]
 
 
 def digests(docs: DataFrame, path: str | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     path = path or vocabulary_path(VOCABULARY)
 
     def finish():
-        pieces = piece_table(path)
-        names = [str(k) for k in range(len(pieces))]
+        pieces = pa.array(piece_table(path), pa.binary())
+        names = pa.array([str(k) for k in range(len(pieces))], pa.string())
 
         def done(doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-            sha = [hashlib.sha256(",".join(map(names.__getitem__, x.tolist())).encode()).hexdigest() for x in ids]
-            text = [hashlib.sha256(decode(x, pieces).encode()).hexdigest() for x in ids]
+            sha, text = [], []
+            for at in range(0, len(ids), 200):  # bounds what a batch's strings take
+                part = ids[at : at + 200]
+                sha += [hashlib.sha256(x.encode()).hexdigest() for x in _joined(part, names, ",")]
+                text += [hashlib.sha256(x.encode()).hexdigest() for x in decode(part, pieces)]
             return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(sha), pa.array(text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return done
