@@ -61,6 +61,8 @@ class ReadSet:
     version: str = "0.2.0"
     tag: str = "signal"  # the word before _version in the file's first line
     path: str = ""
+    form: str = "text"  # how the path is stored: text or parquet
+    codec: str = "none"
 
     @property
     def lossy(self) -> bool:

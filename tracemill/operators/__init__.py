@@ -1,8 +1,11 @@
 """Operators on sets of reads. Each takes and returns DataFrames or ReadSets and runs no job unless it must refuse."""
 
-from .demux import demux
+from .demux import demux, extra
 from .flatten import flatten, unflatten
-from .reads import degrade, get, index, missing, quickcheck, skim, stats, view
-from .sets import cat, merge, split_files, split_groups, split_reads
+from .reads import degrade, get, get_indexed, index, missing, quickcheck, read_ids, repeated, skim, stats, stats_lines, view
+from .sets import by_group, cat, group_headers, merge, split_files, split_groups, split_reads
 
-__all__ = ["cat", "degrade", "demux", "flatten", "get", "index", "merge", "missing", "quickcheck", "skim", "split_files", "split_groups", "split_reads", "stats", "unflatten", "view"]
+__all__ = [
+    "by_group", "cat", "degrade", "demux", "extra", "flatten", "get", "get_indexed", "group_headers", "index", "merge", "missing", "quickcheck", "read_ids", "repeated",
+    "skim", "split_files", "split_groups", "split_reads", "stats", "stats_lines", "unflatten", "view",
+]

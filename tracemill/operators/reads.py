@@ -25,6 +25,11 @@ def skim(reads: ReadSet, labels: bool = True) -> DataFrame:
     return reads.df.select(*ORDER, *[k for k in PRIMARY if k != "raw_signal"], F.lit(NULL).alias("raw_signal"), *aux)
 
 
+def read_ids(reads: ReadSet) -> DataFrame:
+    """The ids alone, in order: no other column is read."""
+    return reads.df.select(*ORDER, "read_id")
+
+
 def request(df_or_reads, ids: list[str] | DataFrame) -> DataFrame:
     """pos and read_id of a request: line ends stripped, blank lines left out, repeats kept. A DataFrame has these columns."""
     if isinstance(ids, DataFrame):
@@ -46,21 +51,41 @@ def get(reads: ReadSet, ids: list[str] | DataFrame, skip: bool = False) -> ReadS
     return reads.with_(df=found.withColumnRenamed("pos", "file_ord").select(*reads.df.columns))
 
 
+def repeated(reads: ReadSet) -> DataFrame:
+    """read_id and n of the ids that several records have."""
+    return reads.df.groupBy("read_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def index(reads: ReadSet) -> DataFrame:
     """read_id with its place; a repeated id is refused."""
-    if again := reads.df.groupBy("read_id").count().where("count > 1").take(1):
+    if again := repeated(reads).take(1):
         raise SignalError(f"read {again[0].read_id} occurs more than once")
     return reads.df.select("read_id", *ORDER)
 
 
+def get_indexed(reads: ReadSet, places: DataFrame, ids: list[str] | DataFrame, skip: bool = False) -> ReadSet:
+    """get by an index that was made before (read_id and its place): records are joined by their place, ids only with the index."""
+    wanted = request(reads, ids)
+    if not skip and (lost := wanted.join(places.select("read_id"), "read_id", "left_anti").take(1)):
+        raise SignalError(f"no read {lost[0].read_id}")
+    found = wanted.join(places.select("read_id", *ORDER), "read_id").select("pos", *ORDER)
+    rows = reads.df.join(found, list(ORDER))
+    return reads.with_(df=rows.drop("file_ord").withColumnRenamed("pos", "file_ord").select(*reads.df.columns))
+
+
 def stats(reads: ReadSet) -> list[tuple[str, str]]:
-    """What a file holds, as keys and values."""
+    """What a file holds, as keys and values; the codecs are those of the binary form."""
     return [
-        ("file path", reads.path), ("file version", reads.version), ("number of read groups", str(len(reads.header))),
-        ("number of auxiliary fields", str(len(reads.aux))), ("auxiliary fields", ",".join(reads.aux)), ("number of records", str(reads.df.count())),
+        ("file path", reads.path), ("file version", reads.version), ("file format", reads.form), ("record compression method", reads.codec), ("signal compression method", "none"),
+        ("number of read groups", str(len(reads.header))), ("number of auxiliary fields", str(len(reads.aux))), ("auxiliary fields", ",".join(reads.aux)), ("number of records", str(reads.df.count())),
     ]
 
 
+def stats_lines(reads: ReadSet) -> list[str]:
+    """stats as tab-separated lines; an empty list of fields has no tab."""
+    return [f"{k}\t{v}" if v else k for k, v in stats(reads)]
+
+
 def quickcheck(open_) -> bool:
     """Whether a set opens and its first record decodes; open_ returns the ReadSet."""
     try:

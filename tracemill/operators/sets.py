@@ -55,6 +55,13 @@ def merge(inputs: list[ReadSet], lossless: bool = True, allow: bool = False) ->
         raise SignalError("an input has no auxiliary columns")
     header, maps = merged_header(inputs, allow)
     aux = merged_aux(inputs) if lossless else {}
+    for reads in inputs:
+        for c, t in reads.aux.items():
+            if lossless and t != aux[c]:
+                own, there = aux_type(t).simpleString(), aux_type(aux[c]).simpleString()
+                back = F.expr(f"try_cast(try_cast(`{c}` AS {there}) AS {own})")
+                if bad := reads.df.where(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(back)).select(c).take(1):
+                    raise SignalError(f"column {c} is {t} and {aux[c]}, and {bad[0][0]!r} does not fit both")
     out: DataFrame | None = None
     for k, (reads, groups) in enumerate(zip(inputs, maps)):
         # The map is as long as the input's header.
@@ -101,12 +108,20 @@ def split_files(reads: ReadSet, n: int) -> DataFrame:
     return positions(reads.df, *ORDER).withColumn("part", bucket(F.col("pos"), reads.df.count(), n))
 
 
-def split_groups(reads: ReadSet) -> list[ReadSet]:
-    """A set per read group, also for one without records; every set keeps all attribute names and numbers its group 0."""
+def by_group(reads: ReadSet) -> DataFrame:
+    """Records with part, their read group, in one scan; read_group is 0 in each."""
+    return reads.df.withColumn("part", F.col("read_group")).withColumn("read_group", F.lit(0).cast("long"))
+
+
+def group_headers(reads: ReadSet) -> list[list[dict]]:
+    """The header of each read group's part: every one keeps all attribute names."""
     if len(reads.header) < 2:
         raise SignalError("there is one read group only")
     names = {k for g in reads.header for k in g}
-    return [
-        reads.with_(df=reads.df.where(F.col("read_group") == k).withColumn("read_group", F.lit(0).cast("long")), header=[{n: g.get(n) for n in names}], path="")
-        for k, g in enumerate(reads.header)
-    ]
+    return [[{n: g.get(n) for n in names}] for g in reads.header]
+
+
+def split_groups(reads: ReadSet) -> list[ReadSet]:
+    """A set per read group, also for one without records; every set keeps all attribute names and numbers its group 0."""
+    parts = by_group(reads)
+    return [reads.with_(df=parts.where(F.col("part") == k).drop("part"), header=head, path="") for k, head in enumerate(group_headers(reads))]

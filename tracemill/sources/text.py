@@ -1,7 +1,7 @@
 """Text files of reads: a header, then a tab-separated row per read. Parquet is the binary form.
 
-The header is read on the driver (its lines start with # or @); rows are split by Spark and stay in the
-JVM. Only columns that are asked for are parsed. Row order is data: rec_ord is (byte offset of the
+The header (the lines before the first that does not start with # or @) is read on the driver, line by line
+and no further; rows are split by Spark and stay in the JVM. Only columns that are asked for are parsed. Row order is data: rec_ord is (byte offset of the
 split, number within it), which is ordered even where a file is read by many tasks.
 """
 
@@ -82,12 +82,32 @@ def _value(cell: Column, kind: T.DataType) -> Column:
     return cell.cast(kind)
 
 
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """The lines at the start of a file, or of a folder's first part, that start with # or @."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(at) and store.getFileStatus(at).isDirectory():
+        parts = sorted(x.getPath().toString() for x in store.listStatus(at) if x.getPath().getName().startswith("part-"))
+        if not parts:
+            return []
+        at = jvm.org.apache.hadoop.fs.Path(parts[0])
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(store.open(at), "UTF-8"))
+    head = []
+    try:
+        while (line := reader.readLine()) is not None and line[:1] in ("#", "@"):
+            head.append(line)
+    finally:
+        reader.close()
+    return head
+
+
 def read_text(spark: SparkSession, path: str, file_ord: int = 0, columns: list[str] | None = None) -> ReadSet:
     """One text file. columns: those to parse, all if None."""
     lines = spark.read.text(path)
-    is_header = F.col("value").rlike("^[#@]")
-    head = [r.value for r in lines.where(is_header).select("value", F.monotonically_increasing_id().alias("k")).orderBy("k").collect()]
+    head = header_of(spark, path)
     got = parse_header(head)
+    is_header = F.col("value").rlike("^[#@]") & F.col("value").isin(head)
     cells = F.split("value", "\t", -1)
     kinds = {**{k: t for k, (_, t) in PRIMARY.items()}, **{k: aux_type(t) for k, t in got["aux"].items()}}
     places = {k: i for i, k in enumerate(kinds)}
@@ -127,16 +147,17 @@ def header_lines(reads: ReadSet) -> list[str]:
     ]
 
 
-def text_lines(reads: ReadSet) -> DataFrame:
-    """file_ord, rec_ord, value: the rows as text."""
+def text_lines(reads: ReadSet, *more: str) -> DataFrame:
+    """file_ord, rec_ord, value: the rows as text, and more columns as they are."""
     kinds = {**{k: t for k, (_, t) in PRIMARY.items()}, **{k: aux_type(t) for k, t in reads.aux.items()}}
-    return reads.df.select("file_ord", "rec_ord", F.concat_ws("\t", *[to_cell(F.col(k), t) for k, t in kinds.items()]).alias("value"))
+    return reads.df.select("file_ord", "rec_ord", *more, F.concat_ws("\t", *[to_cell(F.col(k), t) for k, t in kinds.items()]).alias("value"))
 
 
 def write_text(reads: ReadSet, path: str) -> None:
     """A folder of parts in row order (range-sorted), the header in the first: concatenated they are one text file."""
     spark = reads.df.sparkSession
-    head = spark.createDataFrame([(-1, i, None, x) for i, x in enumerate(header_lines(reads))], "o int, h int, r struct<block:bigint,n:bigint>, value string")
+    # One row, so that the header is in one part.
+    head = spark.createDataFrame([(-1, 0, None, "\n".join(header_lines(reads)))], "o int, h int, r struct<block:bigint,n:bigint>, value string")
     rows = text_lines(reads).select(F.col("file_ord").cast("int").alias("o"), F.lit(0).alias("h"), F.col("rec_ord").alias("r"), "value")
     head.unionByName(rows).orderBy("o", "h", "r").select("value").write.mode("errorifexists").text(path)
 
@@ -148,7 +169,7 @@ CODECS = {"zlib": "gzip", "zstd": "zstd", "none": "uncompressed"}
 def write_parquet(reads: ReadSet, path: str, codec: str = "zlib") -> None:
     if codec not in CODECS:
         raise SignalError(f"unknown codec {codec}")
-    meta = json.dumps({"header": reads.header, "aux": reads.aux, "version": reads.version, "tag": reads.tag})
+    meta = json.dumps({"header": reads.header, "aux": reads.aux, "version": reads.version, "tag": reads.tag, "codec": codec})
     df = reads.df.withColumn("read_id", F.col("read_id").alias("read_id", metadata={"reads": meta}))
     df.write.mode("errorifexists").option("compression", CODECS[codec]).parquet(path)
 
@@ -156,7 +177,28 @@ def write_parquet(reads: ReadSet, path: str, codec: str = "zlib") -> None:
 def read_parquet(spark: SparkSession, path: str) -> ReadSet:
     df = spark.read.parquet(path)
     got = json.loads(df.schema["read_id"].metadata["reads"])
-    return ReadSet(df, got["header"], got["aux"], got["version"], got["tag"], path)
+    return ReadSet(df, got["header"], got["aux"], got["version"], got["tag"], path, "parquet", got.get("codec", "none"))
+
+
+def open_reads(spark: SparkSession, path: str, said: str | None = None) -> ReadSet:
+    """The set at a path, in the form that its name tells."""
+    return read_parquet(spark, path) if detect_format(path, said) == "parquet" else read_text(spark, path)
+
+
+def write_parts(reads: ReadSet, df: DataFrame, folder: str, by: str = "part", headers: list[list[dict]] | None = None) -> None:
+    """Text sets of the parts of df in one job: folder/by=value/, each a set as write_text makes it. headers: that of part k, else all have that of reads."""
+    spark = reads.df.sparkSession
+    kinds = df.schema[by].dataType
+    if headers:
+        values = [(k, reads.with_(header=h)) for k, h in enumerate(headers)]
+    else:
+        values = [(r[0], reads) for r in df.select(by).distinct().collect()]  # a row per part that is written
+    head = spark.createDataFrame([(v, -1, 0, None, "\n".join(header_lines(own))) for v, own in values], "p string, o int, h int, r string, value string")
+    rows = text_lines(reads.with_(df=df), by).select(F.col(by).alias("p"), F.col("file_ord").cast("int").alias("o"), F.lit(0).alias("h"), F.col("rec_ord").alias("r"), "value")
+    head = head.select(F.col("p").cast(kinds).alias("p"), "o", "h", F.lit(None).cast(df.schema["rec_ord"].dataType).alias("r"), "value")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    all_rows = head.unionByName(rows).repartitionByRange(n, "p", "o", "h", "r").sortWithinPartitions("p", "o", "h", "r")
+    all_rows.select("value", F.col("p").alias(by)).write.mode("errorifexists").partitionBy(by).text(folder)
 
 
 def stream_path(spark: SparkSession, path: str) -> str:
