@@ -31,12 +31,12 @@ def test_query(spark, name):
 def test_flatten_pivot_takes_all(spark, tmp_path):
     rows = [(k, u, t, float(k)) for k, (u, t) in enumerate((u, t) for u in (5, 100) for t in [*queries.LABELS, "view"])]
     spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
-    got = {r.user_id: [r[x] for x in queries.LABELS] for r in queries.QUERIES["flatten_pivot_all"](spark, str(tmp_path)).collect()}
+    got = {r.user_id: [r[x] for x in queries.LABELS] for r in queries.QUERIES["flatten_pivot"](spark, str(tmp_path)).collect()}
     assert got == {5: [5.0, 1.0, 2.0, 3.0, 4.0], 100: [11.0, 7.0, 8.0, 9.0, 10.0]}
 
 
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test data")
-@pytest.mark.parametrize("name, operator", [("stats_counts", "stats"), ("merge_rg_map", "merge"), ("flatten_pivot", "flatten"), ("flatten_pivot_all", "flatten"), ("unflatten_stack", "unflatten")])
+@pytest.mark.parametrize("name, operator", [("stats_counts", "stats"), ("merge_rg_map", "merge"), ("flatten_pivot", "flatten"), ("view_signal", "view"), ("index_duplicates", "repeated"), ("demux_extra", "extra"), ("count_parity", "demux"), ("unflatten_stack", "unflatten")])
 def test_query_calls_its_operator(spark, monkeypatch, name, operator):
     from tracemill import operators
 

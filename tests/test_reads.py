@@ -116,12 +116,31 @@ def test_degrade(one):
 def test_flatten(spark):
     rows = [("f", "r", "Raw", "read_id", "string", "abc"), ("f", "r", "Raw", "start_mux", "uint8", "3"), ("f", "r", "tracking_id", "run_id", "string", "run")]
     rows += [("f", "r", "channel_id", k, "double", "1.5") for k in ("digitisation", "offset", "range", "sampling_rate")]
+    rows += [("f", "r", "context_tags", "sample_frequency", "string", "4000")]
     kind = "file string, read string, grp string, attr string, h5type string, value string"
     signal = spark.createDataFrame([("f", "r", [1, 2])], "file string, read string, raw_signal array<smallint>")
     reads, header = ops.flatten(spark.createDataFrame(rows, kind), signal)
-    assert reads.first().start_mux == 3 and reads.first().len_raw_signal == 2 and header.first().value == "run"
-    assert ops.unflatten(reads, header).where("attr = 'read_id'").first().value == "abc"
-    for bad in (("f", "r", "Raw", "odd", "string", "x"), ("f", "r", "Raw", "start_mux", "int", "300")):
+    assert reads.first().start_mux == 3 and reads.first().len_raw_signal == 2
+    assert {r.attr: r.value for r in header.collect()} == {"run_id": "run", "sample_frequency": "4000"}
+    back = ops.flatten(*ops.unflatten(reads, header))
+    for a, b in zip((reads, header), back):
+        assert {repr(r) for r in a.collect()} <= {repr(r) for r in b.select(a.columns).collect()}
+    attrs, _ = ops.unflatten(reads, header.union(spark.createDataFrame([("f", "odd", "x"), ("f", "device_id", ".")], header.schema)))
+    got = {(r.grp, r.attr): (r.h5type, r.value) for r in attrs.collect()}
+    assert got["tracking_id", "device_id"] == ("string", "") and got["Raw", "start_mux"] == ("uint8", "3") and got["Raw", "duration"] == ("uint32", "2")
+    assert got["root", "file_type"] == ("string", "multi-read") and not any(a == "odd" for _, a in got)
+    for wrong in (reads.withColumn("read_group", F.lit(1)), reads.drop("start_time")):
+        with pytest.raises(SignalError):
+            ops.unflatten(wrong, header)
+    kept, _ = ops.flatten(spark.createDataFrame([*rows, ("f", "r", "Raw", "odd", "int32", "12")], kind), signal, dump_all=True)
+    assert kept.first().odd == 12 and dict(kept.dtypes)["odd"] == "int"
+    for rows_ in ([r for r in rows if r[2] != "context_tags"], [r for r in rows if r[3] != "run_id"]):
+        with pytest.raises(SignalError):
+            ops.flatten(spark.createDataFrame(rows_, kind), signal)
+    for bad in (("f", "r", "root", "sample_frequency", "string", "5000"), ("f", "r", "Raw", ".", "string", "x")):
+        with pytest.raises(SignalError):
+            ops.flatten(spark.createDataFrame([*rows, bad], kind), signal)
+    for bad in (("f", "r", "Raw", "odd", "string", "x"), ("f", "r", "Raw", "start_mux", "int", "300"), ("f", "r", "Raw", "end_reason", "uint8", "1")):
         with pytest.raises(SignalError):
             ops.flatten(spark.createDataFrame([r for r in rows if r[3] != bad[3]] + [bad], kind), signal)
 
@@ -151,3 +170,65 @@ def test_listing(spark, tmp_path):
 def test_numbers(spark):
     got = spark.createDataFrame([(1467.61,), (100.0,), (0.5,), (-3.0,)], "x double").select(source.number(F.col("x")).alias("s")).collect()
     assert [r.s for r in got] == ["1467.61", "100", "0.5", "-3"]
+
+
+def test_watch_takes_a_name_once_and_stops_when_idle(spark, tmp_path):
+    from tracemill.streaming import done, follow
+
+    for k, folder in enumerate(("in/x", "in/y")):
+        (tmp_path / folder).mkdir(parents=True)
+        put(tmp_path / folder, "same.sig", [row("x")])
+        put(tmp_path / folder, f"own{k}.sig", [row("x")])
+    (tmp_path / "in" / "long.sig").write_text("broken")
+
+    def convert(session, path):
+        if path.endswith("long.sig"):
+            raise ValueError("why " * 400)
+        return source.read_text(session, path).df.select("read_id")
+
+    run = watch(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/bad", f"{tmp_path}/cp", convert, "*.sig", realtime=True, interval="1 second")
+    report = follow(run, idle=20, files=5)
+    assert report["files"] == 5 and not report["error"]
+    got = {r.name: r.reason for r in done(spark, f"{tmp_path}/cp").collect()}
+    assert set(got) == {"same.sig", "own0.sig", "own1.sig", "long.sig"} and got["long.sig"] == "why " * 400 and got["same.sig"] is None
+
+
+def test_positions_of_many_rows(spark):
+    """More rows than a sample of ranges holds, with a payload that one use of them does not read."""
+    from tracemill.model import ReadSet
+    from tracemill.plans import positions
+
+    n = 400_000
+    df = spark.range(0, n, 1, 8).select(F.lit(0).alias("file_ord"), ((F.col("id") * 7919) % n).alias("rec_ord"), F.md5(F.col("id").cast("string")).alias("payload"))
+    got = positions(df, "file_ord", "rec_ord", buckets=8).agg(F.count_distinct("pos"), F.max("pos"), F.sum((F.col("pos") != F.col("rec_ord")).cast("int"))).first()
+    assert tuple(got) == (n, n - 1, 0)
+    sizes = [r.n for r in ops.split_files(ReadSet(df, [{"run_id": "r"}]), 7).groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 7 and sum(sizes) == n and max(sizes) - min(sizes) <= 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tracemill.__main__ import main
+
+    def cli(*args):
+        code = main([str(a) for a in args], spark)
+        return code, capsys.readouterr().out
+
+    a = put(tmp_path, "a.sig", [row(f"r{k}", k % 2) for k in range(5)], kit="k\tk2", run="run0\trun1", n=2)
+    b = put(tmp_path, "b.sig", [row(f"s{k}") for k in range(5)])
+    assert cli("view", b) == (0, (tmp_path / "b.sig").read_text())
+    assert cli("view", b, "-c", "zstd")[0] == 1
+    assert cli("view", b, "-o", tmp_path / "b.parquet", "-c", "zstd")[0] == 0
+    lines = cli("stats", tmp_path / "b.parquet")[1].splitlines()
+    assert [x.split("\t")[0] for x in lines] == ["file path", "file version", "file format", "record compression method", "signal compression method", "number of read groups", "number of auxiliary fields", "auxiliary fields", "number of records"]
+    assert "record compression method\tzstd" in lines and "number of records\t5" in lines
+    assert cli("skim", b, "--rid") == (0, "".join(f"s{k}\n" for k in range(5))) and cli("skim", b, "--rid", "--hdr")[0] == 1
+    assert cli("skim", b)[1].splitlines()[1] == "s0\t0\t8192\t6.5\t1467.61\t5000\t3\t.\tsignal\tc1\t7"
+    assert cli("index", b, "-o", tmp_path / "b.idx")[0] == 0
+    head = (tmp_path / "b.sig").read_text().split("s0")[0]
+    assert cli("get", b, "s3", "s1", "--index", tmp_path / "b.idx") == (0, head + row("s3") + row("s1"))
+    assert cli("get", b, "s3", "s1") == (0, head + row("s3") + row("s1")) and cli("get", b, "none")[0] == 1 and cli("get", b, "none", "--skip") == (0, head)
+    assert cli("split", b, "-r", 2, "-d", tmp_path / "parts")[0] == 0
+    assert "".join(p.read_text() for p in sorted((tmp_path / "parts/b/part=1").glob("part-*"))) == head + row("s2") + row("s3")
+    assert cli("split", a, "-g", "-d", tmp_path / "groups")[0] == 0
+    assert source.read_text(spark, str(tmp_path / "groups/a/part=1")).header == [{"kit": "k2", "run_id": "run1"}]
+    assert cli("merge", a, b)[0] == 0 and cli("cat", b, b)[0] == 0 and cli("cat", a, b)[0] == 1 and cli("quickcheck", b)[0] == 0

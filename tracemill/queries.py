@@ -6,17 +6,15 @@ their lookup table, nation rows the attributes of headers.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import enum_code, enum_label, quantise, window_of
 from .model import ReadSet
-from .operators import cat, degrade, demux, flatten, get, index, merge, missing, skim, split_files, split_groups, split_reads, stats, unflatten
-from .operators.reads import PROFILES
+from .operators import by_group, cat, degrade, demux, extra, flatten, get, index, merge, missing, repeated, skim, split_files, split_reads, stats, unflatten, view
+from .operators.reads import PROFILES, profile
 from .operators.sets import merged_header
-from .plans import positions
+from .plans import positions, shared_path
 from .streaming import counted
 
 LABELS = ["view", "click", "purchase", "signup", "error"]
@@ -55,7 +53,7 @@ def _join(sig: str = "raw_signal") -> F.Column:
 
 
 def view_signal(spark, d):
-    return signals(spark, d).df.select(F.col("rec_ord").alias("vec_id"), "read_group", "len_raw_signal", _join())
+    return view(signals(spark, d)).df.select(F.col("rec_ord").alias("vec_id"), "read_group", "len_raw_signal", _join())
 
 
 def skim_signals(spark, d):
@@ -81,7 +79,8 @@ def index_unique(spark, d):
 
 
 def index_duplicates(spark, d):
-    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n > 1")
+    reads = ReadSet(_t(spark, d, "lineitem").select(F.col("l_orderkey").alias("read_id")), [{"run_id": "r"}])
+    return repeated(reads).withColumnRenamed("read_id", "l_orderkey")
 
 
 def stats_counts(spark, d):
@@ -145,11 +144,7 @@ def split_by_files(spark, d):
 
 
 def split_by_groups(spark, d):
-    out = None
-    for k, part in enumerate(split_groups(signals(spark, d))):
-        one = part.df.agg(F.count("*").alias("n"), F.max("read_group").alias("read_group")).withColumn("part", F.lit(k).cast("long"))
-        out = one if out is None else out.union(one)
-    return out
+    return by_group(signals(spark, d)).groupBy("part").agg(F.count("*").alias("n"), F.max("read_group").alias("read_group"))
 
 
 def _orders(spark, d):
@@ -180,8 +175,7 @@ def demux_missing_docs(spark, d):
 
 
 def demux_extra(spark, d):
-    ids = _lookup(spark, d).select(F.col("parent_read_id").alias("read_id")).distinct()
-    return ids.join(_orders(spark, d), "read_id", "left_anti").agg(F.count("*").alias("n_extra"))
+    return extra(_orders(spark, d), _lookup(spark, d)).agg(F.count("*").alias("n_extra"))
 
 
 def degrade_b3(spark, d):
@@ -193,10 +187,17 @@ def degrade_b1(spark, d):
 
 
 def degrade_profile(spark, d):
-    p = spark.createDataFrame([(i, *x) for i, x in enumerate(PROFILES)], "i int, name string, device string, kit string, experiment string, hz int, dig double, bits int")
+    """The first profile of each customer's device and frequency, whatever the kit: a header per pair and kit is matched."""
+    kits = dict.fromkeys((p[2], p[3]) for p in PROFILES)
+    rows = []
+    for device in ("minion", "promethion", "p2_solo"):
+        for hz in (4000, 5000):
+            fit = [profile([{"device_type": device, "sequencing_kit": k, "experiment_type": e, "sample_frequency": str(hz)}]) for k, e in kits]
+            best = min((PROFILES.index(p) for p in fit if p), default=None)
+            rows.append((device, hz, PROFILES[best][0] if best is not None else "", PROFILES[best][6] if best is not None else 0))
+    p = spark.createDataFrame(rows, "device string, hz int, name string, bits int")
     c = _t(spark, d, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, ("minion", "promethion", "p2_solo"))), (F.col("c_custkey") % 3 + 1).cast("int")).alias("device"), (4000 + F.col("c_custkey") % 2 * 1000).cast("int").alias("hz"))
-    best = c.join(F.broadcast(p), ["device", "hz"], "left").groupBy("c_custkey").agg(F.min(F.struct("i", "name", "bits")).alias("p"))
-    return best.select("c_custkey", F.coalesce("p.name", F.lit("")).alias("name"), F.coalesce("p.bits", F.lit(0)).alias("bits"))
+    return c.join(F.broadcast(p), ["device", "hz"]).select("c_custkey", "name", "bits")  # six rows
 
 
 def signal_stats(spark, d):
@@ -268,30 +269,33 @@ def _flat(events: DataFrame, kinds: list[str]) -> DataFrame:
     place = (F.lit("events").alias("file"), read, F.lit("Raw").alias("grp"))
     attrs = users.select(*place, "user_id", fields).drop("user_id").unionByName(own.where("value IS NOT NULL").select(*place, "attr", "value")).withColumn("h5type", F.lit("string"))
     signal = users.select(place[0], read, F.array().cast("array<smallint>").alias("raw_signal"))
+    head = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(a).alias("attr"), F.lit(v).alias("value")) for g, a, v in (("context_tags", "sample_frequency", "4000"), ("tracking_id", "run_id", "r"))])).alias("h")
+    attrs = attrs.unionByName(users.select(place[0], read, head).select("file", "read", "h.*", F.lit("string").alias("h5type")))
     got, _ = flatten(attrs, signal, dump_all=True)
     return got.select(F.col("read_id").cast(events.schema["user_id"].dataType).alias("user_id"), *[(F.col(k) if k in got.columns else F.lit(None)).cast("double").alias(k) for k in kinds])
 
 
 def flatten_pivot(spark, d):
-    return _flat(_t(spark, d, "events").where("user_id < 20"), ["view", "click"])
-
-
-def flatten_pivot_all(spark, d):
     """All users and all event types: a row per user."""
     return _flat(_t(spark, d, "events"), LABELS)
 
 
 def unflatten_stack(spark, d):
-    """A supplier is a read in a file of its own; its name and nation are the header's attributes."""
+    """A supplier is a read in a file of its own; its name and nation are the header's device and sample."""
     s = _t(spark, d, "supplier").withColumn("file", F.col("s_suppkey").cast("string"))
-    header = s.select("file", F.explode(F.create_map(F.lit("name"), F.col("s_name"), F.lit("nation"), F.col("s_nationkey").cast("string"))).alias("attr", "value"))
-    got = unflatten(s.select("file", F.col("file").alias("read_id")), header).where("grp = 'tracking_id'")
+    names = {"device_id": "name", "sample_id": "nation"}
+    header = s.select("file", F.explode(F.create_map(F.lit("device_id"), F.col("s_name"), F.lit("sample_id"), F.col("s_nationkey").cast("string"))).alias("attr", "value"))
+    attrs, _ = unflatten(s.select("file", F.col("file").alias("read_id")), header)
+    got = attrs.where("grp = 'tracking_id'").replace(names, subset=["attr"])
     return got.select(F.col("read").cast(s.schema["s_suppkey"].dataType).alias("s_suppkey"), "attr", "value")
 
 
 def count_parity(spark, d):
+    """Orders against the records of all parts that demux makes of them by status."""
     o = _t(spark, d, "orders")
-    return o.agg(F.count("*").alias("total")).join(o.groupBy("o_orderstatus").agg(F.count("*").alias("n")).agg(F.sum("n").alias("parts")), how="cross").withColumn("equal", F.col("total") == F.col("parts"))
+    table = o.select(F.col("o_orderkey").alias("parent_read_id"), F.col("o_orderstatus").alias("barcode_arrangement"))
+    parts = _tally(demux(_orders(spark, d), table)).agg(F.sum("n_reads").alias("parts"))
+    return o.agg(F.count("*").alias("total")).join(parts, how="cross").withColumn("equal", F.col("total") == F.col("parts"))  # one row each
 
 
 def positions_dense(spark, d):
@@ -302,8 +306,7 @@ def positions_dense(spark, d):
 def stream_count(spark, d):
     from .sources.text import stream_path
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tracemill"
-    at = f"{base.rstrip('/')}/stream-count-{uuid.uuid4().hex}"
+    at = shared_path(spark, "stream-count")
     path = f"{d}/events.parquet"
     return counted(spark, stream_path(spark, path), spark.read.parquet(path).schema, "event_type", f"{at}/checkpoint", f"{at}/out")
 
@@ -320,7 +323,7 @@ QUERIES = {
     "degrade_b3": degrade_b3, "degrade_b1": degrade_b1, "degrade_profile": degrade_profile, "signal_stats": signal_stats, "signal_slice": signal_slice,
     "signal_explode": signal_explode, "signal_of_read": signal_of_read, "first_records": first_records, "count_by_channel": count_by_channel, "aux_stats": aux_stats,
     "sample_hash": sample_hash, "subset_ids": subset_ids, "split_by_column": split_by_column, "corr_pair": corr_pair, "lossy_acceptance": lossy_acceptance,
-    "flatten_pivot": flatten_pivot, "flatten_pivot_all": flatten_pivot_all, "unflatten_stack": unflatten_stack, "count_parity": count_parity, "positions_dense": positions_dense, "stream_count": stream_count,
+    "flatten_pivot": flatten_pivot, "unflatten_stack": unflatten_stack, "count_parity": count_parity, "positions_dense": positions_dense, "stream_count": stream_count,
 }
 
 SQL = {
@@ -358,8 +361,7 @@ SQL = {
     "split_by_column": _TALLY.format(c="o.o_orderpriority") + "orders o group by 1",
     "corr_pair": "select round(corr(l_quantity, l_extendedprice), 9) as r from lineitem",
     "lossy_acceptance": f"with s as (select unnest(sig) as x from {_SIG}), y as (select x, ((x+4)>>3)*8 as z from s) select count(*) as n, max(abs(x - z)) as worst, round(corr(x, z), 9) as r, round(corr(x, z), 9) >= 0.97 as accepted from y",
-    "flatten_pivot": "select user_id, max(case when event_type = 'view' then value end) as view, max(case when event_type = 'click' then value end) as click from events where user_id < 20 group by user_id",
-    "flatten_pivot_all": "select user_id, " + ", ".join(f"max(case when event_type = '{x}' then value end) as {x}" for x in LABELS) + " from events group by user_id",
+    "flatten_pivot": "select user_id, " + ", ".join(f"max(case when event_type = '{x}' then value end) as {x}" for x in LABELS) + " from events group by user_id",
     "unflatten_stack": "select s_suppkey, unnest(['name', 'nation']) as attr, unnest([s_name, cast(s_nationkey as varchar)]) as value from supplier",
     "count_parity": "select count(*) as total, count(*) as parts, true as equal from orders",
     "positions_dense": "select conv_id, turn, row_number() over (order by conv_id, turn) - 1 as pos from conversations",
