@@ -46,8 +46,10 @@ from .common import fresh_path, remove, save, table
 
 #: Production parameters; WORDS and PERCENT hold unless a caller asks for others.
 WORDS, PERCENT = 5, 80
-#: Sets of a block, and queries that one task compares with it; sets of a group of its matrix.
-BLOCK, GROUP = 4096, 64
+#: Sets of a block and tokens of all its sets, about; queries that one task compares with it as the first; sets of a group of its matrix.
+BLOCK, BLOCK_TOKENS, GROUP = 4096, 4_000_000, 64
+#: Measured bytes up to which lists of sets (not their tokens) are broadcast, so that the tokens move to their blocks only.
+BROADCAST_BYTES = 16 << 20
 #: Tokens of a block of documents (one document more at most), and buckets of tokens for each shuffle partition.
 DOC_TOKENS, BUCKETS = 2_000_000, 2
 #: Random orders by which sets are grouped.
@@ -365,10 +367,17 @@ def _cells(nodes: list[int], sizes: np.ndarray, tokens: list[np.ndarray], group:
 CELL = "block bigint, cell bigint, most bigint, low bigint, high bigint, prefix array<bigint>, members array<bigint>"
 
 
+def _listed(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written, and broadcast in joins if they are few."""
+    rows = save(rows, name)
+    return F.broadcast(rows) if rows.count() * 64 <= BROADCAST_BYTES else rows
+
+
 def _in_blocks(sets: DataFrame, order: int, percent: int, block: int, group: int) -> DataFrame:
     """The cells of sets that are grouped by their first token in an order."""
     sets = sets.withColumn("first", F.col("orders")[order])
-    parts = sets.groupBy("first").agg(F.ceil(F.count("*") / block).alias("parts")).where("parts > 1")
+    full = F.greatest(F.count("*") / block, F.sum(F.octet_length("tokens")) / (8 * BLOCK_TOKENS))
+    parts = _listed(sets.groupBy("first").agg(F.ceil(full).alias("parts")).where("parts > 1"), "near-parts")
     part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
     rows = sets.join(parts, "first", "left").select(F.xxhash64("first", part).alias("block"), "node", "size", "prefix", "orders", "tokens")
 
@@ -419,7 +428,8 @@ def _between(cells: DataFrame, sets: DataFrame, percent: int, block: int, group:
     asked = cells.select("block", "root", F.explode("members").alias("node")).join(parts, "block")
     asked = asked.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "root", "node")
     asking = queries.join(parts, "block").select("block", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "root", "node")
-    rows = asked.unionAll(asking).join(sets.select("node", "size", F.col("orders")[1].alias("first"), "tokens"), "node")
+    wanted = _listed(asked.unionAll(asking), "near-wanted")
+    rows = wanted.join(sets.select("node", "size", F.col("orders")[1].alias("first"), "tokens"), "node")
     rows = rows.select("block", "part", "kind", "first", "root", "size", "tokens")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,7 +503,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str
     cells = save(_in_blocks(sets, 0, percent, block, group).withColumn("root", F.col("cell")), "near-cells")
     for order in range(1, ORDERS):
         most = cells.select("root", F.col("most").alias("node"))
-        met_again = _in_blocks(most.select("node").join(sets, "node"), order, percent, block, group).where(F.size("members") > 1)
+        met_again = _in_blocks(_listed(most.select("node"), "near-most").join(sets, "node"), order, percent, block, group).where(F.size("members") > 1)
         pairs = met_again.select("cell", F.explode("members").alias("node")).join(most, "node")
         pairs = pairs.select(F.col("cell").alias("node"), F.col("root").alias("b")).join(most, "node")
         cells = save(_rooted(cells, components(pairs.select(F.col("root").alias("a"), "b"))), "near-cells")
