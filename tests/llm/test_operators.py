@@ -382,3 +382,18 @@ def test_url_model_on_held_out_names(spark):
     rows = [(k, f"http://{h}/fr/{k}") for k, h in enumerate(bad + good)]
     got = [r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string"), rules=()).orderBy("page_id").collect()]
     assert got == ["block"] * 3 + ["allow"] * 3
+
+
+def test_odd_markup_inside_an_article():
+    prose = "<p>" + "Real prose of the article goes on here for a while. " * 4 + "</p>"
+    for inner, want in (
+        ('<div class="article-header"><p>Lead text</p></div>', "Lead text"),
+        ('<p class="story-share-price">Shares rose.</p>', "Shares rose."),
+        ('<section class="side-effects"><p>Nausea.</p></section>', "Nausea."),
+        ("<button>Click<p>More text.</p>", "Click\n\nMore text."),
+        ("<button>Click</button><p>More text.</p><button>On", "More text.\n\nOn"),
+        ("<svg><svg></svg>LEAK</svg><p>End.</p>", "End."),
+        ('<div class="share-buttons">Share</div><div class="side-bar">S</div><p class="ad">Buy</p><aside>A</aside><p>End.</p>', "End."),
+    ):
+        got = html.extract(f"<body><article>{prose}{inner}</article></body>", None)
+        assert got.split("\n\n", 1)[1] == want, inner

@@ -46,7 +46,9 @@ MIN_SHARE, MIN_PAGES, MAX_LINK_SHARE, BROADCAST_BYTES = 0.05, 3, 0.6, 32 << 20
 MIN_SIZE = 2
 
 #: HTML's elements, by how they are read.
-DROPPED = "script style noscript template textarea select button svg math iframe object canvas audio video title"
+DROPPED = "script style noscript template textarea iframe title"
+#: Elements whose content is no text either, but only up to their end tag: without one the tag alone is dropped. Some nest.
+CLOSED, NESTING = frozenset("select button svg math object canvas audio video".split()), frozenset("svg math object".split())
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input picture source rp rt ruby".split()
 #: A start tag that closes an open element of the first kind, up to a boundary of the second.
@@ -62,6 +64,10 @@ BOILER_WORDS = frozenset(
     "cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments reply replies "
     "respond disqus login search widget pagination pager toolbar skip".split()
 )
+#: Words that mark boilerplate inside an article only with one of these (or alone), as they are part of other names too.
+WITH = {"header": frozenset("site page main top global nav".split()), "side": frozenset("bar rail column nav menu panel".split())}
+#: Tags of prose, whose names mark boilerplate only if all their words do.
+PROSE = frozenset("p blockquote pre li dd dt td th figcaption h1 h2 h3 h4 h5 h6".split())
 ARTICLE_TAGS, ARTICLE_WORDS = ("article", "main"), frozenset("article articlebody main maincontent content post entry story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
@@ -81,6 +87,19 @@ def _label(tag: str, attributes: str) -> str:
     return ".".join([tag, *dict.fromkeys(words)])
 
 
+def _end_of(page: str, tag: str, at: int) -> int:
+    """Where an element that has begun ends, or 0 if it is not closed."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, at):
+        if not m[1]:
+            if tag not in NESTING:
+                return 0
+            depth += not m[0].endswith("/>")
+        elif (depth := depth - 1) == 0:
+            return m.end()
+    return 0
+
+
 def blocks(page: str) -> tuple[dict[str, int], list[tuple[str, str, int]]]:
     """How often each path of structural tags occurs, and the blocks of text: (path, text, length of link text)."""
     paths: dict[str, int] = {}
@@ -102,6 +121,8 @@ def blocks(page: str) -> tuple[dict[str, int], list[tuple[str, str, int]]]:
             links += len(piece)
 
     for m in _TOKEN.finditer(page):
+        if m.start() < at:  # in an element that is passed over
+            continue
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
@@ -109,6 +130,10 @@ def blocks(page: str) -> tuple[dict[str, int], list[tuple[str, str, int]]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in CLOSED:
+            if not m[2] and not (m[4] or "").endswith("/"):
+                at = _end_of(page, tag, at) or at
+            continue
         if tag == "a":
             in_link = not m[2]
         if tag in INLINE:
@@ -149,7 +174,14 @@ def _boiler(path: str, root: str) -> bool:
         tag, *words = part.split(".")
         if tag in BOILER_TAGS and not (tag == "header" and root and path.rsplit("/", 1)[-1].split(".")[0] in HEADINGS):
             return True
-        if tag not in ("html", "body", *ARTICLE_TAGS) and not BOILER_WORDS.isdisjoint(words):
+        if tag in ("html", "body", *ARTICLE_TAGS) or BOILER_WORDS.isdisjoint(words):
+            continue
+        if not root:
+            return True
+        if tag in PROSE:
+            if BOILER_WORDS.issuperset(words):
+                return True
+        elif any(w in BOILER_WORDS and (len(words) == 1 or w not in WITH or not WITH[w].isdisjoint(words)) for w in words):
             return True
     return False
 
