@@ -397,3 +397,20 @@ def test_odd_markup_inside_an_article():
     ):
         got = html.extract(f"<body><article>{prose}{inner}</article></body>", None)
         assert got.split("\n\n", 1)[1] == want, inner
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["salt", "n", "prior", "rank", "_salt", "_n", "host", "_source", "a.b"]
+    rows = [(k, 0, 1 + k % 5, *[f"{c}{k}" for c in names]) for k in range(40)]
+    pieces = spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint, " + ", ".join(f"`{c}` string" for c in names)).cache()
+    for salt_rows in (500_000, 1):
+        got = packing.pack(pieces, 8, salts=2, salt_rows=salt_rows).collect()
+        assert {tuple(r)[:12] for r in got} == set(rows) and len({(r.sequence_id, r.offset) for r in got}) == 40
+        ends = {}
+        for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == ends.get(r.sequence_id, 0)
+            ends[r.sequence_id] = r.offset + r.length
+        assert max(ends.values()) <= 8
+    docs = pieces.selectExpr("doc_id", "concat('word ', doc_id) AS text", "if(doc_id % 3 = 0, null, 's') AS source", *[f"`{c}`" for c in names])
+    judged = quality.judge(docs).collect()
+    assert {(r.doc_id, *[r[c] for c in names]) for r in judged} == {(r[0], *r[3:]) for r in rows}

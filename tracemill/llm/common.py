@@ -54,5 +54,13 @@ def row_digest(df: DataFrame) -> Column:
     return F.unhex(F.md5(F.concat(*[F.coalesce(F.md5(F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns])))
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)

@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save, table
+from .common import free, save, table
 
 #: Production parameters.
-CAPACITY, END_ID, VOCABULARY, SALTS = 2048, 0, "word_bpe_49k.json", 64
+CAPACITY, END_ID, VOCABULARY, SALTS, SALT_ROWS = 2048, 0, "word_bpe_49k.json", 64, 500_000
 MADE = ("piece", "start", "length", "ids", "sequence_id", "offset")
 #: Words are split at white space; texts with these go to the tokenizer whole.
 _WHOLE = re.compile(r"<\||[\x1c-\x1f]")
@@ -187,18 +187,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return runs, bins
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """pieces (with a column length of 1 to capacity) with sequence_id and offset. pieces must be a written table: it is read more than once."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """pieces (with a column length of 1 to capacity) with sequence_id and offset. pieces must be a written table: it is read more than once.
+
+    Pieces of one length are ranked in parts, of about salt_rows each, salts parts at least. All columns are kept, whatever
+    their names, but columns named sequence_id and offset are replaced."""
     pieces = pieces.drop("sequence_id", "offset")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
+    salts = max([salts, *(-(-n // salt_rows) for n in counts.values())])
     runs, _ = plan(counts, capacity)
     names = pieces.columns
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("doc_id", "piece") if c in names] or ["length"]), F.lit(salts)))
-    before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
+    salt, n, prior, rank = (free(x, names) for x in ("salt", "n", "prior", "rank"))
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*[c for c in ("doc_id", "piece") if c in names] or ["length"]), F.lit(salts)))
+    before = salted.groupBy("length", salt).agg(F.count("*").alias(n))
     # One row per length and salt.
-    before = before.selectExpr("length", "_salt", "sum(_n) OVER (PARTITION BY length ORDER BY _salt) - _n AS _before")
+    before = before.selectExpr("length", salt, f"sum({n}) OVER (PARTITION BY length ORDER BY {salt}) - {n} AS {prior}")
     order = ", ".join(c for c in ("doc_id", "piece") if c in names) or "length"
-    ranked = salted.join(before, ["length", "_salt"]).selectExpr(*names, f"_before + row_number() OVER (PARTITION BY length, _salt ORDER BY {order}) - 1 AS _rank")
+    ranked = salted.join(before, ["length", salt]).selectExpr(*[f"`{c}`" for c in names], f"{prior} + row_number() OVER (PARTITION BY length, {salt} ORDER BY {order}) - 1 AS {rank}")
     shift = 1 << 44
     runs.sort()
     keys = np.array([r[0] * shift + r[1] for r in runs], np.int64)
@@ -214,7 +219,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     if not runs:
         return pieces.selectExpr("*", "0L AS sequence_id", "0L AS offset")
-    return ranked.mapInArrow(work, schema)
+    return ranked.toDF(*[f"c{k}" for k in range(len(names) + 1)]).mapInArrow(work, schema)  # names with points would not do there
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

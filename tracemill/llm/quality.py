@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save, table
+from .common import free, save, table
 
 #: Production parameters: words below, percent of repeated words above which a text fails; a host's limit.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW, REJECT = 20, 30, 8, 0.6
@@ -83,7 +83,8 @@ def measured(docs: DataFrame) -> DataFrame:
             got = list(zip(*map(measure, batch.column(0).to_pylist()))) or [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(x, pa.int64()) for x in got)], names=[*keep, *MEASURES])
 
-    rows = docs.select("text", *keep).mapInArrow(work, schema)
+    rows = docs.select("text", *[F.col(f"`{c}`") for c in keep])
+    rows = rows.toDF(*[f"c{k}" for k in range(len(keep) + 1)]).mapInArrow(work, schema)  # names with points would not do there
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
@@ -112,8 +113,9 @@ def host_verdicts(rows: DataFrame, reject: float = REJECT) -> DataFrame:
 def judge(docs: DataFrame, reject: float = REJECT) -> DataFrame:
     """Per document, without its text: all other columns, the measures, base_failed, shrunk_rate, kept."""
     rows = save(measured(docs.drop("shrunk_rate", "host_ok")), "quality-measures")
-    hosts = host_verdicts(rows, reject).select(F.col("source").alias("_source"), "shrunk_rate", "host_ok")
-    rows = rows.join(hosts, rows["source"].eqNullSafe(hosts["_source"]), "left").drop("_source")
+    name = free("host", rows.columns)
+    hosts = host_verdicts(rows, reject).select(F.col("source").alias(name), "shrunk_rate", "host_ok")
+    rows = rows.join(hosts, rows["source"].eqNullSafe(hosts[name]), "left").drop(name)
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop("host_ok")
 
 
