@@ -232,3 +232,61 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli("split", a, "-g", "-d", tmp_path / "groups")[0] == 0
     assert source.read_text(spark, str(tmp_path / "groups/a/part=1")).header == [{"kit": "k2", "run_id": "run1"}]
     assert cli("merge", a, b)[0] == 0 and cli("cat", b, b)[0] == 0 and cli("cat", a, b)[0] == 1 and cli("quickcheck", b)[0] == 0
+    assert cli("split", a, "--chain", 2, "-d", tmp_path / "chain")[0] == 0 and cli("split", b, "--chain", 2, "-d", tmp_path / "none")[0] == 1
+    back = source.read_text(spark, str(tmp_path / "chain/a/part=0_1"))
+    assert [r.read_id for r in back.df.collect()] == ["r4"] and back.header == [{"kit": "k", "run_id": "run0"}]
+    assert cli("skim", b, "--strict")[1].splitlines()[1] == "s0\t0\t8192\t6.5\t1467.61\t5000\t3\t.\tsignal\t.\t."
+    with pytest.raises(SystemExit):
+        cli("-K", 0, "view", b)
+
+
+def test_split_chain_equals_both_steps(spark, tmp_path):
+    reads = source.read_text(spark, put(tmp_path, "a.sig", [row(f"r{k:02}", k % 3 // 2) for k in range(11)], kit="k\tk2", run="x\ty", n=2))
+    want = {(g, r.part, r.read_id) for g, own in enumerate(ops.split_groups(reads)) for r in ops.split_reads(own, 3).collect()}
+    got = ops.split_chain(reads, 3)
+    assert {(r.part_group, r.part, r.read_id) for r in got.collect()} == want and {r.read_group for r in got.collect()} == {0}
+    with pytest.raises(SignalError):
+        ops.split_chain(reads, 0)
+
+
+def test_checks(spark):
+    def scores(*x):
+        return spark.createDataFrame([(v,) for v in x], "identity double")
+
+    ops_row = ops.acceptance(scores(0.98, 0.99, None), scores(0.9795, 0.9895), 2).first()
+    assert ops_row.accepted and ops_row.n_original == 2
+    assert not ops.acceptance(scores(0.98, 0.99), scores(0.97, 0.98), 2).first().good_pair
+    assert not ops.acceptance(scores(0.98, 0.99), scores(0.98), 2).first().good_scores
+    assert not ops.acceptance(scores(), scores(), 0).first().accepted
+    counts = spark.createDataFrame([(k, 10 if k else None) for k in range(21)], "file int, n bigint")
+    assert [ops.estimate(counts, spark.range(n)).first()[2:] for n in (200, 199)] == [(200, 95, True), (199, 94, False)]
+    assert ops.estimate(counts.limit(20), spark.range(1)).first().passed and ops.estimate(counts.where("file < 0"), spark.range(0)).first().percent == 100
+    assert ops.parity(spark.range(3), spark.range(3)).first()[:] == (3, 3, True) and not ops.parity(spark.range(3), spark.range(0)).first().equal
+
+
+def test_convert_mixed(spark):
+    def tree(name, run):
+        own = [("Raw", "read_id", name), *[("channel_id", c, "1") for c in ("digitisation", "offset", "range", "sampling_rate")], ("context_tags", "sample_frequency", "4000"), *([("tracking_id", "run_id", run)] if run else [])]
+        return own
+
+    def table(*reads):
+        attrs = [(f, n, g, a, "string", v) for f, n, run in reads for g, a, v in tree(n, run)]
+        return spark.createDataFrame(attrs, "file string, read string, grp string, attr string, h5type string, value string"), spark.createDataFrame([(f, n, [1, 2]) for f, n, _ in reads], "file string, read string, raw_signal array<smallint>")
+
+    got = ops.convert_mixed(*table(("f", "a", "y"), ("f", "b", "x"), ("g", "c", "y")))
+    assert [h["run_id"] for h in got.header] == ["x", "y"]
+    assert [(r.read_id, r.read_group) for r in got.df.orderBy("file_ord", "rec_ord").collect()] == [("b", 0), ("a", 1), ("c", 1)]
+    for bad in ((("f", "a", "y"), ("g", "a", "y")), (("f", "a", "y"), ("f", "b", None))):
+        with pytest.raises(SignalError):
+            ops.convert_mixed(*table(*bad))
+
+
+def test_runs_finished(spark, tmp_path):
+    from tracemill.streaming import runs_finished
+
+    for k in (1, 2):
+        (tmp_path / f"s/p/r{k}").mkdir(parents=True)
+    (tmp_path / "s/p/r1/final_summary_1.txt").write_text("x")
+    assert not runs_finished(spark, f"{tmp_path}/s", 0)
+    (tmp_path / "s/p/r2/final_summary_2.txt").write_text("x")
+    assert runs_finished(spark, f"{tmp_path}/s", -1) and not runs_finished(spark, f"{tmp_path}/s")

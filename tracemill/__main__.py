@@ -20,9 +20,23 @@ from .sources import text as source
 SUFFIXES = (".sig", ".txt", ".tsv", ".parquet")
 
 
+#: Log levels by verbosity.
+LEVELS = ("OFF", "ERROR", "WARN", "INFO", "INFO", "DEBUG", "TRACE")
+
+
+def _natural(text: str) -> int:
+    n = int(text)
+    if n < 1:
+        raise ValueError(text)
+    return n
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tracemill", description=__doc__)
     top.add_argument("--version", action="version", version="1")
+    top.add_argument("-t", "--threads", type=_natural, help="threads of a session that this starts on one machine")
+    top.add_argument("-K", "--batch", type=_natural, help="rows of a batch between the JVM and Python")
+    top.add_argument("-v", "--verbosity", type=int, choices=range(len(LEVELS)), help="log level, 0 for none")
     commands = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, *flags: str, inputs: str = "+") -> argparse.ArgumentParser:
@@ -46,6 +60,7 @@ def parser() -> argparse.ArgumentParser:
     p = command("skim", inputs=1)
     p.add_argument("--hdr", action="store_true", help="the header alone")
     p.add_argument("--rid", action="store_true", help="the ids alone")
+    p.add_argument("--strict", action="store_true", help="points for auxiliary columns of unknown names")
     command("stats", inputs="*")
     command("quickcheck", inputs=1)
     command("merge", "out", "lossless").add_argument("--allow", action="store_true")
@@ -56,6 +71,7 @@ def parser() -> argparse.ArgumentParser:
     how.add_argument("-r", "--reads", type=int)
     how.add_argument("-f", "--files", type=int)
     how.add_argument("-g", "--groups", action="store_true")
+    how.add_argument("--chain", type=int, help="by read group, and each group into parts of so many reads")
     how.add_argument("-x", "--table", help="a tab-separated table of ids and categories")
     p.add_argument("--id", default=ops.demux.__defaults__[0])
     p.add_argument("--category", default=ops.demux.__defaults__[1])
@@ -116,6 +132,10 @@ def split(spark: SparkSession, args: argparse.Namespace) -> None:
         reads, to = source.open_reads(spark, path), f"{args.folder.rstrip('/')}/{base}"
         if args.groups:
             source.write_parts(reads, ops.by_group(reads), to, headers=ops.group_headers(reads))
+        elif args.chain is not None:
+            heads = ops.group_headers(reads)
+            parts = ops.split_chain(reads, args.chain).withColumn("part", F.concat_ws("_", "part_group", "part"))
+            source.write_parts(reads, parts, to, headers=lambda part: heads[int(part.split("_")[0])])
         elif args.table:
             table = spark.read.option("sep", "\t").option("header", "true").csv(args.table)
             source.write_parts(reads, ops.demux(reads, table, args.id, args.category, args.multi, args.unmatched), to, "category")
@@ -162,7 +182,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             _lines(ops.read_ids(reads).orderBy(*ORDER).select("read_id"))
         else:
             print("#" + "\t".join(reads.columns()))
-            rows = ops.skim(reads)
+            rows = ops.skim(reads, strict_compat=args.strict)
             kinds = {f.name: f.dataType for f in rows.schema if f.name not in ORDER}
             _lines(rows.orderBy(*ORDER).select(F.concat_ws("\t", *[source.to_cell(F.col(c), t) for c, t in kinds.items()])))
     elif args.command == "stats":
@@ -173,7 +193,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = spark or SparkSession.builder.getOrCreate()
+    if spark is None:
+        builder = SparkSession.builder
+        spark = (builder.master(f"local[{args.threads}]") if args.threads else builder).getOrCreate()
+    if args.batch:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", args.batch)
+    if args.verbosity is not None:
+        spark.sparkContext.setLogLevel(LEVELS[args.verbosity])
     began = time.time()
     try:
         run(spark, args)

@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import NULL, PRIMARY, SignalError
+from ..model import NULL, PRIMARY, ReadSet, SignalError
 
 #: Groups that are passed over, attributes of a read, and attributes that are ignored.
 SKIPPED_GROUPS = ("Analyses", "PreviousReadInfo")
 FIELDS = {"read_id": "string", "digitisation": "double", "offset": "double", "range": "double", "sampling_rate": "double"}
 AUXILIARY = {"start_time": "decimal(20,0)", "read_number": "int", "start_mux": "smallint", "median_before": "double", "end_reason": "smallint", "channel_number": "string"}
+#: Their type names in a set of reads; codes of an end reason are kept as numbers.
+AUX_NAMES = {"start_time": "uint64_t", "read_number": "int32_t", "start_mux": "uint8_t", "median_before": "double", "end_reason": "uint8_t", "channel_number": "char*"}
 IGNORED = (
     "file_version", "num_minknow_events", "tracked_scaling_scale", "tracked_scaling_shift", "predicted_scaling_scale", "predicted_scaling_shift",
     "num_reads_since_mux_change", "time_since_mux_change", "duration", "file_type",
@@ -89,6 +91,37 @@ def flatten(attrs: DataFrame, signals: DataFrame, allow: bool = False, dump_all:
     return rows.select("file", *PRIMARY, *AUXILIARY, *others), header
 
 
+def by_run(attrs: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reads of mixed files dealt to a file per run_id: attrs and signals with the run as their file.
+
+    A read without a run_id, or with several, is refused."""
+    runs = attrs.where("attr = 'run_id'").groupBy("file", "read").agg(F.min("value").alias("run"), F.countDistinct("value").alias("n"))
+    known = attrs.select("file", "read").distinct().join(runs, ["file", "read"], "left")
+    if bad := known.where("run IS NULL OR n != 1").take(1):
+        raise SignalError(f"not one run_id: {bad[0].asDict()}")
+    known = known.select("file", "read", "run")
+    # A read's name is unique in its file only.
+    name = F.concat_ws("/", "file", "read").alias("read")
+    return tuple(df.join(known, ["file", "read"]).select(F.col("run").alias("file"), name, *[c for c in df.columns if c not in ("file", "read")]) for df in (attrs, signals))
+
+
+def convert_mixed(attrs: DataFrame, signals: DataFrame) -> ReadSet:
+    """One set of all reads of mixed files, a read group per run in order of the run_ids; lost and repeated reads are refused."""
+    rows, header = flatten(*by_run(attrs, signals))
+    found = header.orderBy("file", "attr").collect()  # the attributes of each run, not of its reads
+    runs = {r.file: k for k, r in enumerate({r.file: r for r in found}.values())}
+    head: list[dict] = [{} for _ in runs]
+    for r in found:
+        head[runs[r.file]][r.attr] = r.value or None
+    if (n := rows.count()) != (before := signals.count()):
+        raise SignalError(f"{before} reads became {n}")
+    if again := rows.groupBy("read_id").count().where("count > 1").take(1):
+        raise SignalError(f"read {again[0].read_id} occurs more than once")
+    numbers = rows.sparkSession.createDataFrame(list(runs.items()), "file string, read_group long")
+    placed = rows.drop("read_group").join(numbers, "file").select(F.lit(0).alias("file_ord"), F.struct("read_group", "read_id").alias("rec_ord"), *PRIMARY, *AUXILIARY)
+    return ReadSet(placed, head, AUX_NAMES)
+
+
 def unflatten(reads: DataFrame, header: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(attrs, signals): the long form of flat reads (with file) and their header (file, attr, value), and file, read, raw_signal.
 

@@ -16,10 +16,22 @@ def view(reads: ReadSet, lossless: bool = True) -> ReadSet:
     return reads.with_(df=reads.df.select(*ORDER, *PRIMARY), aux={})
 
 
-def skim(reads: ReadSet, labels: bool = True) -> DataFrame:
-    """All columns, the signal as a point; enum codes as labels. The signal's column is never read from Parquet."""
+#: The auxiliary columns that skim knows by name.
+SKIMMED = (
+    "channel_number", "median_before", "read_number", "start_mux", "start_time", "end_reason", "tracked_scaling_shift", "tracked_scaling_scale",
+    "predicted_scaling_shift", "predicted_scaling_scale", "num_reads_since_mux_change", "time_since_mux_change", "num_minknow_events",
+)
+
+
+def skim(reads: ReadSet, labels: bool = True, strict_compat: bool = False) -> DataFrame:
+    """All columns, the signal as a point; enum codes as labels. The signal's column is never read from Parquet.
+
+    strict_compat: auxiliary columns of other names than the known ones are points, too."""
     aux = []
     for name, kind in reads.aux.items():
+        if strict_compat and name not in SKIMMED:
+            aux.append(F.lit(NULL).alias(name))
+            continue
         known = enum_labels(kind)
         aux.append(enum_label(F.col(name), known).alias(name) if known and labels else F.col(name))
     return reads.df.select(*ORDER, *[k for k in PRIMARY if k != "raw_signal"], F.lit(NULL).alias("raw_signal"), *aux)

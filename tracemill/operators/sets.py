@@ -9,6 +9,10 @@ from ..model import ORDER, PRIMARY, HeaderMismatch, ReadSet, SignalError, aux_ty
 from ..plans import bucket, chunk, positions
 
 
+#: Most read groups of which a row each is broadcast.
+MAX_BROADCAST_GROUPS = 100_000
+
+
 def merged_header(inputs: list[ReadSet], allow: bool = False) -> tuple[list[dict], list[list[int]]]:
     """The header of all runs in order of first sight, and each input's map from old to new read groups.
 
@@ -73,6 +77,13 @@ def merge(inputs: list[ReadSet], lossless: bool = True, allow: bool = False) ->
     return inputs[0].with_(df=out, header=header, aux=aux, path="")
 
 
+def merge_every(inputs: list[ReadSet], n: int = 10, lossless: bool = True, allow: bool = False) -> list[ReadSet]:
+    """One merged set for every n consecutive inputs; the last may be of fewer."""
+    if n < 1:
+        raise SignalError("a merged set needs an input")
+    return [merge(inputs[k : k + n], lossless, allow) for k in range(0, len(inputs), n)]
+
+
 def cat(inputs: list[ReadSet]) -> ReadSet:
     """All records of inputs whose headers and columns are the same."""
     first = inputs[0]
@@ -121,6 +132,19 @@ def group_headers(reads: ReadSet) -> list[list[dict]]:
     return [[{n: g.get(n) for n in names}] for g in reads.header]
 
 
+def split_chain(reads: ReadSet, n: int) -> DataFrame:
+    """Records with part_group, their read group, and part: each group cut into consecutive chunks of n; read_group is 0.
+
+    What splitting by group and then by reads gives, in one pass over all groups."""
+    if n < 1:
+        raise SignalError("a part needs a record")
+    placed = positions(reads.df, "read_group", *ORDER)
+    # One row per read group: they are numbered by the header.
+    first = placed.groupBy("read_group").agg(F.min("pos").alias("_first"))
+    whole = placed.join(F.broadcast(first), "read_group") if len(reads.header) <= MAX_BROADCAST_GROUPS else placed.join(first, "read_group")
+    return whole.select(*[F.lit(0).cast("long").alias(c) if c == "read_group" else F.col(c) for c in reads.df.columns], F.col("read_group").alias("part_group"), chunk(F.col("pos") - F.col("_first"), n).alias("part"))
+
+
 def split_groups(reads: ReadSet) -> list[ReadSet]:
     """A set per read group, also for one without records; every set keeps all attribute names and numbers its group 0."""
     parts = by_group(reads)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import enum_code, enum_label, quantise, window_of
 from .model import ReadSet
-from .operators import by_group, cat, degrade, demux, extra, flatten, get, index, merge, missing, repeated, skim, split_files, split_reads, stats, unflatten, view
+from .operators import acceptance, by_group, cat, degrade, demux, estimate, extra, flatten, get, index, merge, merge_every, missing, parity, repeated, skim, split_chain, split_files, split_reads, stats, unflatten, view
 from .operators.reads import PROFILES, profile
 from .operators.sets import merged_header
 from .plans import positions, shared_path
@@ -294,8 +294,42 @@ def count_parity(spark, d):
     """Orders against the records of all parts that demux makes of them by status."""
     o = _t(spark, d, "orders")
     table = o.select(F.col("o_orderkey").alias("parent_read_id"), F.col("o_orderstatus").alias("barcode_arrangement"))
-    parts = _tally(demux(_orders(spark, d), table)).agg(F.sum("n_reads").alias("parts"))
-    return o.agg(F.count("*").alias("total")).join(parts, how="cross").withColumn("equal", F.col("total") == F.col("parts"))  # one row each
+    got = parity(o, demux(_orders(spark, d), table))
+    return got.select(F.col("n_before").alias("total"), F.col("n_after").alias("parts"), "equal")
+
+
+def split_chained(spark, d):
+    got = split_chain(signals(spark, d), 7)
+    return got.groupBy("part_group", "part").agg(F.count("*").alias("n"), F.min("rec_ord").alias("lo"), F.max("rec_ord").alias("hi"), F.max("read_group").alias("read_group"))
+
+
+def merge_batches(spark, d):
+    """Five files of events, merged two by two."""
+    reads = records(spark, d)
+    sets = merge_every([reads.with_(df=reads.df.where(F.col("rec_ord") % 5 == k)) for k in range(5)], 2)
+    out = None
+    for k, x in enumerate(sets):
+        part = x.df.select(F.lit(k).cast("long").alias("batch"), "file_ord", "rec_ord")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("file_ord").alias("files"), F.sum("rec_ord").alias("keys"))
+
+
+def estimate_check(spark, d):
+    """A nation is a file of customers."""
+    c = _t(spark, d, "customer")
+    return estimate(c.groupBy("c_nationkey").agg(F.count("*").alias("n")), c)
+
+
+def acceptance_scores(spark, d):
+    """Identities made of the tax of lines, and ones a little lower for the lossy reads."""
+    x = _t(spark, d, "lineitem").select((1 - F.col("l_tax").cast("double") / 8).alias("identity"))
+    got = acceptance(x, x.select((F.col("identity") - 0.0005).alias("identity")), x.count())
+    return got.select(*[F.round(c, 6).alias(c) if c.startswith("me") else F.col(c) for c in got.columns])
+
+
+def skim_strict(spark, d):
+    got = skim(records(spark, d), strict_compat=True)
+    return got.select(F.col("rec_ord").alias("event_id"), "raw_signal", "channel", "event_type", "median_before")
 
 
 def positions_dense(spark, d):
@@ -324,6 +358,7 @@ QUERIES = {
     "signal_explode": signal_explode, "signal_of_read": signal_of_read, "first_records": first_records, "count_by_channel": count_by_channel, "aux_stats": aux_stats,
     "sample_hash": sample_hash, "subset_ids": subset_ids, "split_by_column": split_by_column, "corr_pair": corr_pair, "lossy_acceptance": lossy_acceptance,
     "flatten_pivot": flatten_pivot, "unflatten_stack": unflatten_stack, "count_parity": count_parity, "positions_dense": positions_dense, "stream_count": stream_count,
+    "split_chain": split_chained, "merge_batches": merge_batches, "estimate_check": estimate_check, "acceptance_scores": acceptance_scores, "skim_strict": skim_strict,
 }
 
 SQL = {
@@ -365,5 +400,10 @@ SQL = {
     "unflatten_stack": "select s_suppkey, unnest(['name', 'nation']) as attr, unnest([s_name, cast(s_nationkey as varchar)]) as value from supplier",
     "count_parity": "select count(*) as total, count(*) as parts, true as equal from orders",
     "positions_dense": "select conv_id, turn, row_number() over (order by conv_id, turn) - 1 as pos from conversations",
+    "split_chain": "select cast(label as bigint) as part_group, cast(p // 7 as bigint) as part, count(*) as n, min(vec_id) as lo, max(vec_id) as hi, cast(0 as bigint) as read_group from (select label, vec_id, row_number() over (partition by label order by vec_id) - 1 as p from embeddings) group by 1, 2",
+    "merge_batches": "select cast(event_id % 5 // 2 as bigint) as batch, count(*) as n, count(distinct event_id % 5) as files, cast(sum(event_id) as bigint) as keys from events group by 1",
+    "estimate_check": "with f as (select count(*) as n from customer group by c_nationkey), e as (select count(*) as n_files, cast(count(*) * max(n) as bigint) as n_expected, cast(sum(n) as bigint) as n_found from f) select *, n_found * 100 // n_expected as percent, n_files <= 20 or n_found * 100 // n_expected >= 95 as passed from e",
+    "acceptance_scores": "with x as (select 1 - cast(l_tax as double) / 8 as i from lineitem), g as (select avg(i) as mean_original, median(i) as median_original, count(*) as n_original, avg(i - 0.0005) as mean_lossy, median(i - 0.0005) as median_lossy, count(*) as n_lossy from x) select round(mean_original, 6) as mean_original, round(median_original, 6) as median_original, n_original, round(mean_lossy, 6) as mean_lossy, round(median_lossy, 6) as median_lossy, n_lossy, least(mean_original, mean_lossy) >= 0.93 and least(median_original, median_lossy) >= 0.97 as good_scores, mean_original - mean_lossy <= 0.001 and median_original - median_lossy <= 0.001 as good_pair, good_scores and good_pair as accepted from g",
+    "skim_strict": "select event_id, '.' as raw_signal, '.' as channel, '.' as event_type, value as median_before from events",
     "stream_count": "select event_type, count(*) as n from events group by event_type",
 }

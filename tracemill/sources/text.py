@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -185,14 +187,14 @@ def open_reads(spark: SparkSession, path: str, said: str | None = None) -> ReadS
     return read_parquet(spark, path) if detect_format(path, said) == "parquet" else read_text(spark, path)
 
 
-def write_parts(reads: ReadSet, df: DataFrame, folder: str, by: str = "part", headers: list[list[dict]] | None = None) -> None:
-    """Text sets of the parts of df in one job: folder/by=value/, each a set as write_text makes it. headers: that of part k, else all have that of reads."""
+def write_parts(reads: ReadSet, df: DataFrame, folder: str, by: str = "part", headers: list[list[dict]] | Callable[[Any], list[dict]] | None = None) -> None:
+    """Text sets of the parts of df in one job: folder/by=value/, each a set as write_text makes it. headers: that of part k, also of an empty one; or by a part's value; else all have that of reads."""
     spark = reads.df.sparkSession
     kinds = df.schema[by].dataType
-    if headers:
+    if isinstance(headers, list):
         values = [(k, reads.with_(header=h)) for k, h in enumerate(headers)]
     else:
-        values = [(r[0], reads) for r in df.select(by).distinct().collect()]  # a row per part that is written
+        values = [(r[0], reads.with_(header=headers(r[0])) if headers else reads) for r in df.select(by).distinct().collect()]  # a row per part that is written
     head = spark.createDataFrame([(v, -1, 0, None, "\n".join(header_lines(own))) for v, own in values], "p string, o int, h int, r string, value string")
     rows = text_lines(reads.with_(df=df), by).select(F.col(by).alias("p"), F.col("file_ord").cast("int").alias("o"), F.lit(0).alias("h"), F.col("rec_ord").alias("r"), "value")
     head = head.select(F.col("p").cast(kinds).alias("p"), "o", "h", F.lit(None).cast(df.schema["rec_ord"].dataType).alias("r"), "value")

@@ -52,15 +52,15 @@ def done(spark: SparkSession, checkpoint: str) -> DataFrame:
     return spark.read.schema("name string, path string, reason string").option("recursiveFileLookup", "true").parquet(_taken(checkpoint))
 
 
-def follow(query: StreamingQuery, idle: float = IDLE_SECONDS, files: int | None = None, poll: float = 1.0) -> dict:
-    """Wait for a realtime watch until no file came for idle seconds, or after so many files; returns a report."""
+def follow(query: StreamingQuery, idle: float = IDLE_SECONDS, files: int | None = None, poll: float = 1.0, finished: Callable[[], bool] | None = None) -> dict:
+    """Wait for a realtime watch until no file came for idle seconds, after so many files, or once finished() holds; returns a report."""
     began = last = time.time()
     rows: dict[int, int] = {}
     while query.isActive:
         for p in query.recentProgress:
             if p["numInputRows"] and p["batchId"] not in rows:
                 rows[p["batchId"]], last = p["numInputRows"], time.time()
-        if time.time() - last >= idle or files is not None and sum(rows.values()) >= files:
+        if time.time() - last >= idle or files is not None and sum(rows.values()) >= files or finished is not None and finished():
             query.processAllAvailable()
             query.stop()
         else:
@@ -68,6 +68,20 @@ def follow(query: StreamingQuery, idle: float = IDLE_SECONDS, files: int | None
     return {"files": sum(rows.values()), "batches": len(rows), "seconds": time.time() - began, "error": str(query.exception()) if query.exception() else None}
 
 
+def runs_finished(spark: SparkSession, folder: str, minutes: float = 60) -> bool:
+    """Whether every run of a sample's folder (folder/*/*/) has a final_summary*.txt that is older than so many minutes."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    runs = [x for x in store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*/*")) or () if x.isDirectory()]
+    old, n, it = (time.time() - 60 * minutes) * 1000, 0, store.listFiles(at, True)
+    while it.hasNext():
+        x = it.next()
+        name = x.getPath().getName()
+        n += name.startswith("final_summary") and name.endswith(".txt") and x.getModificationTime() <= old
+    return n == len(runs)
+
+
 def counted(spark: SparkSession, path: str, schema, key: str, checkpoint: str, out: str) -> DataFrame:
     """Counts per key of a folder or file of Parquet, by a stream that takes what is there."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
