@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,20 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidy(work: Callable, forget: Callable[[], None] | None = None) -> Callable:
+    """work for mapInArrow; at a task's end its Python worker, which Spark uses again, forgets and gives free memory back to the system."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        if forget:
+            forget()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+            trim(0)
+
+    return tidied
+
+
 def row_digest(df: DataFrame) -> Column:
     """16 bytes that name a row by all its columns: equal rows and only those agree, nulls count as values."""
     return F.unhex(F.md5(F.concat(*[F.coalesce(F.md5(F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns])))

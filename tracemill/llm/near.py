@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, remove, save, table
+from .common import fresh_path, remove, save, table, tidy
 
 #: Production parameters; WORDS and PERCENT hold unless a caller asks for others.
 WORDS, PERCENT = 5, 80
@@ -77,6 +77,10 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def _forget() -> None:
+    _HASHES.clear()
+
+
 def shingles(text: str | None, n: int) -> np.ndarray:
     """The sorted distinct hashes of a text's n-word shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
@@ -148,11 +152,14 @@ def _dealt(docs: DataFrame, words: int, key: str | None, buckets: int, tokens: i
         )
         if not sets:
             return
-        flat = np.concatenate(sets)
+        flat, place = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), list(map(len, sets)))
+        sets.clear()
         order = np.argsort(flat)
-        flat, place = flat[order], np.repeat(np.arange(len(sets), dtype=np.int32), list(map(len, sets)))[order]
-        bucket = ((flat >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascends with the tokens
-        starts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)).tolist()
+        flat, place = flat[order], place[order]
+        del order
+        # A bucket is a range of tokens: bucket k begins at the least token whose upper half, times buckets, reaches k << 32.
+        edges = np.array([-(-(k << 32) // buckets) << 32 for k in range(buckets)], np.uint64)
+        starts = [*np.searchsorted(flat, edges).tolist(), len(flat)]
         codec = zstandard.ZstdCompressor(level=1)
         used = [k for k in range(buckets) if starts[k] < starts[k + 1]]
         data = []
@@ -183,7 +190,7 @@ def _dealt(docs: DataFrame, words: int, key: str | None, buckets: int, tokens: i
         if held[0]:
             yield from block_of(number, *held)
 
-    return docs.select("doc_id", "text", *([key] if key else [])).mapInArrow(work, PARTS)
+    return docs.select("doc_id", "text", *([key] if key else [])).mapInArrow(tidy(work, _forget), PARTS)
 
 
 def _met(parts: DataFrame) -> DataFrame:
@@ -227,7 +234,7 @@ def _met(parts: DataFrame) -> DataFrame:
                 held.append((block, (np.cumsum(step, dtype=np.uint64), place)))
         yield from done()
 
-    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "kind int, block bigint, doc_id bigint, key binary, node bigint, size bigint, place int, data binary")
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(work), "kind int, block bigint, doc_id bigint, key binary, node bigint, size bigint, place int, data binary")
 
 
 SET = "node bigint, size bigint, prefix int, orders array<bigint>, tokens binary"
@@ -285,7 +292,7 @@ def _possible(lists: DataFrame, nodes: DataFrame, percent: int, orders: int) ->
                     held.append(_arrays(codec.decompress(data), "844"))
         yield from done()
 
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(work, SET)
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(work), SET)
 
 
 # --- 2., 3. Blocks and their token-group matrix ----------------------------------------------------------------------
@@ -297,10 +304,14 @@ class Matrix:
     def __init__(self, sizes: np.ndarray, tokens: list[np.ndarray], group: int, percent: int):
         n = np.array(list(map(len, tokens)))
         self.sizes, self.group, self.percent, groups = sizes, group, percent, -(-len(tokens) // group)
-        self.tokens, ids = np.unique(np.concatenate(tokens), return_inverse=True)
-        order = np.argsort(ids, kind="stable")
-        ids, self.members = ids[order], np.repeat(np.arange(len(n)), n)[order]
-        pair = ids * groups + self.members // group
+        flat = np.concatenate(tokens)
+        order = np.argsort(flat, kind="stable")
+        flat, self.members = flat[order], np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
+        del order
+        new = np.append(True, flat[1:] != flat[:-1])
+        self.tokens = flat[new]
+        pair = (np.cumsum(new) - 1) * groups + self.members // group
+        del flat, new
         new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
         self.groups = pair[new] % groups  # of each token, one token after the other
         self.at = np.searchsorted(pair[new] // groups, np.arange(len(self.tokens) + 1))
@@ -405,7 +416,7 @@ def _in_blocks(sets: DataFrame, order: int, percent: int, block: int, group: int
                 held.append(row)
         yield from done()
 
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(work, CELL)
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(work), CELL)
 
 
 # --- 4., 5. Between blocks -------------------------------------------------------------------------------------------
@@ -450,7 +461,7 @@ def _between(cells: DataFrame, sets: DataFrame, percent: int, block: int, group:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
 
-    return rows.repartition("block", "part").sortWithinPartitions("block", "part", "kind", "first").mapInArrow(work, "a bigint, b bigint")
+    return rows.repartition("block", "part").sortWithinPartitions("block", "part", "kind", "first").mapInArrow(tidy(work), "a bigint, b bigint")
 
 
 # --- 6. Components ---------------------------------------------------------------------------------------------------

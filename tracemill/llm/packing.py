@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, save, table
+from .common import free, save, table, tidy
 
 #: Production parameters.
 CAPACITY, END_ID, VOCABULARY, SALTS, SALT_ROWS = 2048, 0, "word_bpe_49k.json", 64, 500_000
@@ -88,13 +88,17 @@ class WordEncoder(dict):
         self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
+
     def __call__(self, text: str) -> bytes:
         return self._whole(text) if _WHOLE.search(text) else b"".join(map(self.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One per Python worker, so that what it knows serves the next task too."""
+    """One per Python worker; the words that it knows are forgotten at a task's end."""
     return WordEncoder(path)
 
 
@@ -121,7 +125,7 @@ def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
                     names=[*keep, "piece", "start", "length", "ids"],
                 )
 
-    return docs.select("text", *keep).mapInArrow(work, schema)
+    return docs.select("text", *keep).mapInArrow(tidy(work, lambda: encoder(path).forget()), schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:

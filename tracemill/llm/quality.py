@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, save, table
+from .common import free, save, table, tidy
 
 #: Production parameters: words below, percent of repeated words above which a text fails; a host's limit.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW, REJECT = 20, 30, 8, 0.6
@@ -80,11 +80,11 @@ def measured(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = list(zip(*map(measure, batch.column(0).to_pylist()))) or [()] * len(MEASURES)
+            got = list(zip(*(measure(text.as_py()) for text in batch.column(0)))) or [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(x, pa.int64()) for x in got)], names=[*keep, *MEASURES])
 
     rows = docs.select("text", *[F.col(f"`{c}`") for c in keep])
-    rows = rows.toDF(*[f"c{k}" for k in range(len(keep) + 1)]).mapInArrow(work, schema)  # names with points would not do there
+    rows = rows.toDF(*[f"c{k}" for k in range(len(keep) + 1)]).mapInArrow(tidy(work), schema)  # names with points would not do there
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
